@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 from loomgrid.llm.chunk_dedup import chunk_dedup
 from loomgrid.llm.exact_dedup import exact_dedup
 from loomgrid.llm.line_dedup import line_dedup, sha256_hex
+from loomgrid.llm.toxicity import toxicity
+from loomgrid.llm.url_filter import judge_urls, junk_outcome
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table labels pages, so a page's outcome is read off its own text (junk_outcome)."""
+    return judge_urls(_read(spark, sf_dir, "pages"), junk_outcome(F.col("html")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -32,6 +43,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_chunk_dedup": op9_chunk_dedup,
         "op10_line_dedup": op10_line_dedup,
@@ -41,6 +54,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: DuckDB forms of the white space the contracts name.
 _WS = r"[\x20\x09-\x0D]"
 
+_RULES_SQL = """CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN '{www}'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN '{example}'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN '{es}'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN '{fr}'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN '{com}'
+  END"""
+
+
+def _strength_sql(units: str, name: str) -> str:
+    v = "(x / w) * (1 - x / w)"
+    scale = f"({v}) * (w - q / w - k + 1)"
+    rho = f"CASE WHEN {scale} > 0 THEN (y - w * (x / w) * (x / w) - ({v}) * (k - 1)) / ({scale}) ELSE 0.0 END"
+    return f"""{name} AS (SELECT (1 - r) / r AS m FROM (SELECT least(greatest({rho}, 1 / 1001.0::DOUBLE), 1 / 2.0::DOUBLE) AS r FROM (
+  SELECT sum(n)::DOUBLE AS w, sum(bad)::DOUBLE AS x, sum(n * n)::DOUBLE AS q, count(*)::DOUBLE AS k, sum(bad * bad / n::DOUBLE) AS y FROM {units} WHERE n > 0)))"""
+
+
+_OP1 = f"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    CASE WHEN html IS NULL THEN NULL WHEN len(regexp_extract_all(html, '[%*#$]{{3}}')) * 20 > length(html) - length(replace(html, ' ', '')) THEN 1 ELSE 0 END AS bad
+  FROM pages
+), h AS (
+  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM u GROUP BY host
+), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix
+), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix
+), a AS (SELECT coalesce(sum(bad) / sum(n)::DOUBLE, 0.5) AS p0 FROM s),
+{_strength_sql("s", "ms")}, {_strength_sql("d", "md")}, {_strength_sql("h", "mh")},
+ps AS (SELECT suffix, (bad + coalesce((SELECT m FROM ms), 1.0) * (SELECT p0 FROM a)) / (n + coalesce((SELECT m FROM ms), 1.0)) AS p FROM s),
+pd AS (SELECT domain, (bad + coalesce((SELECT m FROM md), 1.0) * ps.p) / (n + coalesce((SELECT m FROM md), 1.0)) AS p FROM d JOIN ps USING (suffix)),
+ph AS (SELECT host, n + coalesce((SELECT m FROM mh), 1.0) AS m, (bad + coalesce((SELECT m FROM mh), 1.0) * pd.p) / (n + coalesce((SELECT m FROM mh), 1.0)) AS p FROM h JOIN pd USING (domain)),
+r AS (SELECT host, round(p, 6) AS bad_mean, round(greatest(0.0, p - 1.64 * sqrt(p * (1 - p) / (m + 1))), 6) AS bad_low FROM ph)
+SELECT page_id, host, path,
+  {_RULES_SQL.format(www="www.example.com/en/", example="example.com/en/", es="net/es/", fr="net/fr/", com="com/")} AS rule,
+  coalesce({_RULES_SQL.format(www="allow", example="block", es="block", fr="block", com="allow")}, CASE WHEN bad_low > 0.25 THEN 'block' ELSE 'allow' END) AS verdict,
+  bad_mean, bad_low
+FROM u JOIN r USING (host)
+"""
+
 _OP7 = rf"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{_WS}', '', 'g')) AS h FROM documents
@@ -66,4 +119,4 @@ FROM m GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": _OP7, "op10_line_dedup": _OP10}
+    return {"op1_url_filter": _OP1, "op7_exact_dedup": _OP7, "op10_line_dedup": _OP10}
