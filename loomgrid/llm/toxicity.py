@@ -25,7 +25,7 @@ TABLE_BITS = 18
 WINDOW = 32
 DIM = 8
 #: Bounds of the sample the model is fitted on: rows of each class, and bytes of a text in it.
-SAMPLE, SAMPLE_BYTES = 2000, 8_000
+SAMPLE, SAMPLE_BYTES = 1500, 6_000
 
 
 def _raw(text: str) -> bytes:
@@ -82,10 +82,12 @@ class Toxicity:
         return np.where(np.isinf(out), 0.0, out) + self.bias
 
 
-def fit(texts: list[str], toxic: np.ndarray, epochs: int = 120, rate: float = 0.03, decay: float = 2e-5, least: int = 4, seed: int = 0) -> Toxicity:
+def fit(texts: list[str], toxic: np.ndarray, share_toxic: float | None = None, epochs: int = 60, rate: float = 0.02, decay: float = 3e-4, least: int = 4, scale: float = 100.0, seed: int = 0) -> Toxicity:
     """Full-batch Adam over embeddings and softmax, for two thirds of the epochs on the windows' mean, then on the highest window.
 
-    N-grams met in fewer than ``least`` texts keep a zero vector.
+    ``scale`` is a fixed factor of the averaged vector, so that one word of a window
+    can outweigh the bias within few epochs. N-grams met in fewer than ``least`` texts keep a zero vector.
+    Classes weigh alike in training; the bias then moves three quarters of the way to ``share_toxic``.
     """
     y = np.asarray(toxic, float)
     if not len(texts) or y.min() == y.max():
@@ -122,9 +124,9 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 120, rate: float = 0.
             best = np.repeat(np.maximum.reduceat(s_window, bounds[full]), per_text[full])
             share = (s_window == best).astype(float)
             share /= np.bincount(text, share, len(texts))[text]
-        z = np.bincount(text, s_window * share, len(texts)) + b
+        z = scale * np.bincount(text, s_window * share, len(texts)) + b
         g = (1 / (1 + np.exp(-z)) - y) * weight
-        per_window = g[text] * share / n_words
+        per_window = scale * g[text] * share / n_words
         per_word = np.bincount(word, np.repeat(per_window, n_words), len(first)) / n_grams
         per_gram = np.bincount(grams, per_word[owners], len(used)).astype(np.float32)
         grads = (per_gram[:, None] * w[None, :] + decay * e, e.T @ per_gram + decay * w, np.array([g.sum()], np.float32))
@@ -133,13 +135,14 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 120, rate: float = 0.
             s[1] += 0.01 * (grad * grad - s[1])
             x -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-8)
     out = np.zeros(1 << TABLE_BITS)
-    out[used] = e @ w
-    prior = np.log(y.mean() / (1 - y.mean()))
-    return Toxicity(out, float(b[0] + prior * 0.5))
+    out[used] = scale * (e @ w)
+    share = min(max(y.mean() if share_toxic is None else share_toxic, 1e-4), 1 - 1e-4)
+    return Toxicity(out, float(b[0] + 0.75 * np.log(share / (1 - share))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """At most ``size`` labelled texts of each class, chosen by a hash of doc_id, without the held-out remainder.
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
+    """At most ``size`` labelled texts of each class, chosen by a hash of doc_id, without the held-out remainder;
+    and the share of toxic rows among all labelled ones that aren't held out.
 
     Texts above SAMPLE_BYTES stay out of the sample; the sample only fits the model.
     """
@@ -150,7 +153,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
     for c in (0, 1):
         ids = known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id")).limit(size)
         out += [(r.text or "", r.toxic) for r in short.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(2 * size).collect()]
-    return [t for t, _ in out], np.array([y for _, y in out])
+    share = known.agg(F.avg("toxic")).first()[0]
+    return [t for t, _ in out], np.array([y for _, y in out]), share
 
 
 def _score(model) -> Callable:
