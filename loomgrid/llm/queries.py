@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgrid.llm.chunk_dedup import chunk_dedup
 from loomgrid.llm.exact_dedup import exact_dedup
 from loomgrid.llm.line_dedup import line_dedup, sha256_hex
+from loomgrid.llm.neardup import near_duplicates
 from loomgrid.llm.toxicity import toxicity
 from loomgrid.llm.url_filter import judge_urls, junk_outcome
 
@@ -23,6 +24,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), junk_outcome(F.col("html")))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -44,6 +49,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_chunk_dedup": op9_chunk_dedup,
