@@ -10,7 +10,9 @@ Document frequencies and the mean length are those of all documents.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,7 +28,7 @@ LENGTH, END = 4096, 2
 SHARD = 4_000_000
 QUERY_TERMS, K1, B = 16, 1.2, 0.75
 #: Words whose ids a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 _tokenizers: dict[str, "WordIds"] = {}
 
@@ -38,11 +40,107 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters and other characters of Latin-1 as the vocabulary's splitter classes them; words with any other character go to the library.
+_LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|\n|[^\n{_LETTER}{_NUMBER}]+")
+_PLAIN = re.compile("[\n\x21-\x7e\u00a1-\u00ff]*")
+NONE = np.iinfo(np.int64).max
+
+
+class Merges:
+    """Byte-pair merges of many parts at once, from the vocabulary file's own merge list."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        key = np.array([(vocab[x] << 16) | vocab[y] for x, y in pairs], np.int64)
+        made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        self.bits = 18
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE)
+        self.made = made
+        at, rank = self._slot(key), np.arange(len(key))
+        self.probes = 0
+        while len(key):  # linear probing, all keys a step at a time
+            free = self.keys[at] < 0
+            _, lead = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            lead = lead[free[lead]]
+            self.keys[at[lead]], self.ranks[at[lead]] = key[lead], rank[lead]
+            rest = np.ones(len(key), bool)
+            rest[lead] = False
+            key, rank, at = key[rest], rank[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+        # The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        other = iter(range(256, 512))
+        alphabet = [chr(x) if x in plain else chr(next(other)) for x in range(256)]
+        self.inner = np.array([vocab[c] for c in alphabet], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in alphabet], np.int64)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, key: np.ndarray) -> np.ndarray:
+        at = self._slot(key)
+        out = np.where(self.keys[at] == key, self.ranks[at], NONE)
+        todo = np.flatnonzero((out == NONE) & (self.keys[at] >= 0))
+        for step in range(1, self.probes):
+            if not len(todo):
+                break
+            where = (at[todo] + step) & ((1 << self.bits) - 1)
+            here = self.keys[where]
+            hit = here == key[todo]
+            out[todo[hit]] = self.ranks[where[hit]]
+            todo = todo[~hit & (here >= 0)]
+        return out
+
+    def ids(self, parts: list[bytes], new_word: np.ndarray) -> tuple[bytes, list[int]]:
+        """Ids (unsigned 16-bit) of all words, and where each word's bytes begin.
+
+        parts: non-empty byte strings, merged each by itself; new_word: true for the marks between words,
+        which have no ids.
+        """
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        word = np.repeat(np.cumsum(new_word), size)
+        part = np.repeat(np.arange(len(parts), dtype=np.int32), size)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        last = np.cumsum(size) - 1
+        symbol = self.inner[data]
+        symbol[last] = self.last[data[last]]
+        real = ~np.repeat(new_word, size)
+        symbol, part, place = symbol[real], part[real], np.flatnonzero(real)
+        out = np.full(len(data), -1)
+        while len(symbol):
+            rank = np.full(len(symbol), NONE)
+            same = np.flatnonzero(part[:-1] == part[1:])
+            rank[same] = self.rank((symbol[same] << 16) | symbol[same + 1])
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(part)]))
+            live = least != NONE
+            out[place[~live]] = symbol[~live]
+            symbol, part, place, rank, least = symbol[live], part[live], place[live], rank[live], least[live]
+            hit = np.flatnonzero(rank == least)
+            if not len(hit):
+                continue
+            # Of overlapping places (a run of one symbol) every other one, from the left.
+            run = np.maximum.accumulate(np.where(np.r_[True, hit[1:] != hit[:-1] + 1], np.arange(len(hit)), 0))
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            symbol[hit] = self.made[rank[hit]]
+            keep = np.ones(len(symbol), bool)
+            keep[hit + 1] = False
+            symbol, part, place = symbol[keep], part[keep], place[keep]
+        got = np.flatnonzero(out >= 0)
+        cuts = 2 * np.searchsorted(word[got], np.arange(int(new_word.sum()) + 2))
+        return out[got].astype("<u2").tobytes(), cuts.tolist()
+
+
 class WordIds:
-    """Ids of texts, word by word.
+    """Ids of texts as the vocabulary file's tokenizer gives them, word by word.
 
-    This vocabulary's normaliser and splitter never look across white space, so
-    a text's ids are those of its words, and a word's ids can be remembered.
+    Its normaliser and splitter never look across white space, so a text's
+    ids are those of its words, and a word's ids can be remembered. New words of Latin-1 are
+    split and merged here, many at once; all others are given to the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,8 +148,24 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        if any("<|" not in t.content for t in self.model.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens without <| aren't told apart from plain words")
+        self.merges = Merges(path)
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        text = b"\n".join(words).decode("utf-8", "replace")
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            plain = [w for w, t in zip(words, text.split("\n"), strict=True) if "<|" not in t and _PLAIN.fullmatch(t)]
+            for w in set(words).difference(plain):
+                self.known[w] = np.array(self.model.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
+            words, text = plain, b"\n".join(plain).decode()
+        if words:
+            parts = _PART.findall(text.lower())
+            word = np.fromiter(map("\n".__eq__, parts), bool, len(parts))
+            raw, cuts = self.merges.ids([x.encode() for x in parts], word)
+            self.known.update(zip(words, [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+
     def ids(self, raws: list[bytes]) -> list[np.ndarray]:
         """Ids of each text and END after them, as unsigned 16-bit numbers."""
         if len(self.known) > REMEMBERED:
@@ -59,13 +173,11 @@ class WordIds:
         out = []
         end = np.uint16(END).tobytes()
         get = self.known.__getitem__
-        for raw in raws:
-            words = raw.split()
-            new = set(words).difference(self.known)
-            if new:
-                new = list(new)
-                encoded = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-                self.known.update(zip(new, (np.array(e.ids, "<u2").tobytes() for e in encoded), strict=True))
+        split = [raw.split() for raw in raws]
+        new = set().union(*split).difference(self.known)
+        if new:
+            self._learn(sorted(new))
+        for words in split:
             out.append(np.frombuffer(b"".join([*map(get, words), end]), "<u2"))
         return out
 
