@@ -13,6 +13,7 @@ from loomgrid.llm.exact_dedup import exact_dedup
 from loomgrid.llm.line_dedup import line_dedup, sha256_hex
 from loomgrid.llm.neardup import near_duplicates
 from loomgrid.llm.packing import pack_documents
+from loomgrid.llm.quality import score_quality
 from loomgrid.llm.toxicity import toxicity
 from loomgrid.llm.url_filter import judge_urls, junk_outcome
 
@@ -36,6 +37,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, contaminated().alias("contaminated"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return scored.drop("row_key").select("*", held.alias("held_out"), F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -63,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_packing": op2_packing,
         "op3_decontamination": op3_decontamination,
+        "op4_quality": op4_quality,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
