@@ -184,3 +184,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all their columns; of rows equal in doc_id and text one stays."""
+    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_lg_id"), F.col("text_sha256").alias("_lg_digest")).distinct()
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
+    rows = docs.withColumns({"_lg_row": F.xxhash64("text"), "_lg_sha": digest})
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_lg_id")) & (F.col("_lg_sha") == F.col("_lg_digest"))
+    return rows.join(keep, on, "left_semi").dropDuplicates(["doc_id", "_lg_row"]).drop("_lg_row", "_lg_sha")

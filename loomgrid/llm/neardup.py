@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = lookup(full.select("doc_id", "n_shingles", "f1", "f2"), owners, ["f1", "f2"], "size", n_rows)
     out = named.select("doc_id", "n_shingles", "component_id").unionAll(signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     null_low = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    return out.select(null_low("doc_id").alias("doc_id"), "n_shingles", null_low("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select(null_low("doc_id").alias("doc_id"), "n_shingles", null_low("component_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
@@ -316,3 +316,9 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     low, high = F.least("block", "other"), F.greatest("block", "other")
     tile = (F.col("band") * F.col("parts") + low) * F.col("parts") + high + 1
     return one.unionAll(m.select("cluster", "rep", tile.alias("tile")))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose doc_id is their group's smallest."""
+    keep = near_duplicates(docs, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_lg_id")).distinct()
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_lg_id")), "left_semi")
