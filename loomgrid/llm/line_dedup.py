@@ -60,11 +60,11 @@ def _bits(keys: np.ndarray, n_bits: int) -> np.ndarray:
     return np.column_stack([words[:, 0] & np.uint64(n_bits - 1), words[:, 1] & np.uint64(n_bits - 1)]).astype(np.int64)
 
 
-def _seen(n_bits: int, min_points: int) -> Callable:
+def _seen(n_bits: int, keys_of: Callable) -> Callable:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[np.ndarray] = []
         for b in batches:
-            _, keys = distinct_keys(b.column(0), min_points)
+            keys = keys_of(b.column(0))
             counts.append(np.sort(_bits(keys, n_bits), axis=1).ravel())
         if not counts:
             return
@@ -93,9 +93,20 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [part["shard"].iloc[0]], "once": [at.tobytes()], "twice": [np.flatnonzero(n == 2).astype(np.uint32).tobytes()]})
 
 
-def twice_filter(docs: DataFrame, n_bits: int, min_points: int) -> np.ndarray:
-    """The packed bits of the "twice" filter, at most MAX_BITS of them."""
-    seen = docs.select("text").mapInArrow(_seen(n_bits, min_points), SEEN)
+def filter_bits(n_keys: int) -> int:
+    """A power of two, by the number of keys, at most MAX_BITS."""
+    return min(MAX_BITS, max(SHARD_BITS, 1 << (BITS_PER_LINE * n_keys).bit_length()))
+
+
+def is_twice(keys: np.ndarray, twice: np.ndarray, n_bits: int) -> np.ndarray:
+    """Which keys have all their bits in the packed "twice" filter."""
+    at = _bits(keys, n_bits)
+    return ((twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+def twice_filter(docs: DataFrame, n_bits: int, keys_of: Callable) -> np.ndarray:
+    """The packed bits of the "twice" filter over the keys (two words each) that ``keys_of`` finds in an array of texts."""
+    seen = docs.select("text").mapInArrow(_seen(n_bits, keys_of), SEEN)
     salted = seen.withColumn("salt", F.spark_partition_id() % 16)
     some = salted.groupBy("shard", "salt").applyInPandas(_merge, SEEN)
     whole = some.groupBy("shard").applyInPandas(_merge, SEEN)
@@ -112,8 +123,7 @@ def _suspects(bits, n_bits: int, min_points: int) -> Callable:
         twice = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             parent, keys = distinct_keys(b.column(1), min_points)
-            at = _bits(keys, n_bits)
-            hit = ((twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+            hit = is_twice(keys, twice, n_bits)
             parent, keys = parent[hit], keys[hit]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parent)), b.column(2).take(pa.array(parent)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc_id", "row_key", "k1", "k2"])
 
@@ -153,8 +163,8 @@ def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS, min_documents: int
     small_batches(spark)
     docs = documents(docs)
     n_lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    n_bits = min(MAX_BITS, max(SHARD_BITS, 1 << (BITS_PER_LINE * n_lines).bit_length()))
-    bits = spark.sparkContext.broadcast(twice_filter(docs, n_bits, min_points).tobytes())
+    n_bits = filter_bits(n_lines)
+    bits = spark.sparkContext.broadcast(twice_filter(docs, n_bits, lambda text: distinct_keys(text, min_points)[1]).tobytes())
     suspects = table(docs.mapInArrow(_suspects(bits, n_bits, min_points), "doc_id long, row_key long, k1 long, k2 long"), "line-suspects")
     number = F.coalesce("doc_id", F.lit(-(2**63)))
     found = suspects.groupBy("k1", "k2").agg(F.count_distinct(number).alias("n"), F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("keep_id"))

@@ -14,6 +14,7 @@ from loomgrid.llm.line_dedup import line_dedup, sha256_hex
 from loomgrid.llm.neardup import near_duplicates
 from loomgrid.llm.packing import pack_documents
 from loomgrid.llm.quality import score_quality
+from loomgrid.llm.suffix_dedup import suffix_dedup
 from loomgrid.llm.toxicity import toxicity
 from loomgrid.llm.url_filter import judge_urls, junk_outcome
 
@@ -55,6 +56,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(_read(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk_dedup(_read(spark, sf_dir, "documents"))
     return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_duplicates": op5_near_duplicates,
         "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_chunk_dedup": op9_chunk_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
