@@ -1 +1 @@
-
+"""Column functions: geometry, affine transforms, tile weights, radiometry."""

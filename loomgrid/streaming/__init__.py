@@ -1 +1 @@
-
+"""Kept empty: rasters arrive whole, and resuming a batch is an anti-join (operators.batch.pending)."""
