@@ -42,7 +42,8 @@ def extract(px: DataFrame, transform: tuple, palm_class: int = 1, geometry: str
     layer = crowns(found, transform, geometry)
     if dedup_iou <= 0:
         return layer
-    bounds = {f"{a}{k}": f(F.transform("ring", lambda q, a=a: q[a])) for a in "xy" for k, f in ((0, F.array_min), (1, F.array_max))}
+    xs, ys = F.transform("ring", lambda q: q["x"]), F.transform("ring", lambda q: q["y"])
+    bounds = {"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}
     boxes = checkpointed(layer.withColumns(bounds))
     size = boxes.agg(F.max(F.col("x1") - F.col("x0"))).first()[0] or 1.0
     parts = [deduplicate_boxes(boxes.filter(F.col("scene") == s), dedup_iou, size) for (s,) in boxes.select("scene").distinct().toLocalIterator()]

@@ -352,14 +352,14 @@ def _scored(v):
     return tiled.withColumn("valid", F.col("p") > 0.05).withColumn("cls", k).withColumn("p", value)
 
 
-@query("a1_w6_w7_blend", _BLEND + " SELECT row, col, cls, round(p, 6) AS p FROM bl", "px")
+@query("a1_w6_w7_blend", _BLEND + " SELECT row, col, cls, round(p, 9) AS p FROM bl", "px")
 def a1(v):
-    return P.blend(_scored(v), 8, 2).withColumn("p", F.round("p", 6))
+    return P.blend(_scored(v), 8, 2).withColumn("p", F.round("p", 9))
 
 
-@query("a2_decide", _BLEND + " SELECT row, col, CAST(arg_max(cls, round(p, 9) * 10 - cls * 1e-9::DOUBLE) AS INT) AS cls, round(max(p), 6) AS p FROM bl GROUP BY row, col", "px")
+@query("a2_decide", _BLEND + " SELECT row, col, CAST(arg_max(cls, round(p, 9) * 10 - cls * 1e-9::DOUBLE) AS INT) AS cls, round(max(p), 9) AS p FROM bl GROUP BY row, col", "px")
 def a2(v):
-    return P.decide(P.blend(_scored(v), 8, 2)).withColumn("p", F.round("p", 6))
+    return P.decide(P.blend(_scored(v), 8, 2)).withColumn("p", F.round("p", 9))
 
 
 _INST = ", i AS (SELECT 's' AS scene, row, col, CAST(row // 4 * 13 + col // 4 + 1 AS INT) AS inst, p FROM px WHERE palm)"
@@ -464,8 +464,8 @@ def a18(v):
 
 
 _PAIRS = ", g AS (SELECT cls AS gt, CASE WHEN p > 0.8 THEN (cls + 1) % 3 ELSE cls END AS pred FROM px)"
-_SCORES = _PAIRS + """, s AS (SELECT k AS cls, count(*) FILTER (WHERE gt = k AND pred = k) AS tp, count(*) FILTER (WHERE gt = k) + count(*) FILTER (WHERE pred = k) AS both FROM g, range(3) r(k) GROUP BY k),
-sc AS (SELECT CAST(cls AS INT) AS cls, 100 * tp / (both - tp)::DOUBLE AS iou, 200 * tp / both::DOUBLE AS fscore FROM s)"""
+_SCORES = _PAIRS + """, s AS (SELECT k AS cls, count(*) FILTER (WHERE gt = k AND pred = k) AS tp, count(*) FILTER (WHERE gt = k) + count(*) FILTER (WHERE pred = k) AS met FROM g, range(3) r(k) GROUP BY k),
+sc AS (SELECT CAST(cls AS INT) AS cls, 100 * tp / (met - tp)::DOUBLE AS iou, 200 * tp / met::DOUBLE AS fscore FROM s)"""
 
 
 def _pairs(v):
@@ -501,8 +501,9 @@ def w1c(v):
 
 _GREEDY = """, o AS (SELECT id, CAST(row_number() OVER (ORDER BY {score} DESC, id) AS INT) AS k FROM {rows}),
 adj AS (SELECT oa.k AS k, list(ob.k) AS near FROM {pairs} p JOIN o oa ON oa.id = p.a JOIN o ob ON ob.id = p.b WHERE ob.k < oa.k GROUP BY oa.k),
+arr AS MATERIALIZED (SELECT list(coalesce(near, []::INT[]) ORDER BY o.k) AS a FROM o LEFT JOIN adj USING (k)),
 g AS (WITH RECURSIVE r(k, kept) AS (SELECT 0, []::INT[] UNION ALL
-  SELECT r.k + 1, CASE WHEN list_has_any(coalesce((SELECT near FROM adj WHERE adj.k = r.k + 1), []), kept) THEN kept ELSE list_append(kept, r.k + 1) END FROM r WHERE r.k < (SELECT max(k) FROM o))
+  SELECT r.k + 1, CASE WHEN list_has_any(a[r.k + 1], kept) THEN kept ELSE list_append(kept, r.k + 1) END FROM r, arr WHERE r.k < len(a))
   SELECT unnest(kept) AS k FROM (SELECT kept FROM r ORDER BY k DESC LIMIT 1))
 SELECT id FROM o JOIN g USING (k)"""
 
