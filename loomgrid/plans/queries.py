@@ -650,7 +650,7 @@ def b11(v):
 
 # Scalars
 
-@query("n1_stretch", _STRETCH + " SELECT row, col, band, CASE WHEN value = 0 THEN 0 ELSE CAST(floor(round(least(255, greatest(0, (value - lo) / (hi - lo) * 255)), 9)) AS INT) END AS value FROM ms JOIN st USING (band)", "ms")
+@query("n1_stretch", _STRETCH + " SELECT row, col, band, CASE WHEN value = 0 THEN 0 ELSE CAST(floor(least(255, greatest(0, (value - lo) / (hi - lo) * 255))) AS INT) END AS value FROM ms JOIN st USING (band)", "ms")
 def n1(v):
     j = v.ms().join(F.broadcast(P.percentile_stretch(v.ms())), "band")  # one row per band
     return j.select("row", "col", "band", R.stretch(F.col("value"), F.col("lo"), F.col("hi")).alias("value"))
