@@ -28,7 +28,7 @@ LENGTH, END = 4096, 2
 SHARD = 4_000_000
 QUERY_TERMS, K1, B = 16, 1.2, 0.75
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 _tokenizers: dict[str, "WordIds"] = {}
 
@@ -44,7 +44,8 @@ def tokenizer_path() -> str:
 _LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|\n|[^\n{_LETTER}{_NUMBER}]+")
 _PLAIN = re.compile("[\n\x21-\x7e\u00a1-\u00ff]*")
-NONE = np.iinfo(np.int64).max
+NONE = np.int32(np.iinfo(np.int32).max)
+EMPTY = np.uint32(np.iinfo(np.uint32).max)  # no pair: symbols stay below 65,535
 
 
 class Merges:
@@ -55,15 +56,15 @@ class Merges:
             model = json.load(f)["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        key = np.array([(vocab[x] << 16) | vocab[y] for x, y in pairs], np.int64)
-        made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        key = np.array([(vocab[x] << 16) | vocab[y] for x, y in pairs], np.uint32)
+        made = np.array([vocab[x + y] for x, y in pairs], np.uint32)
         self.bits = 18
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE)
+        self.keys, self.ranks = np.full(1 << self.bits, EMPTY), np.full(1 << self.bits, NONE, np.int32)
         self.made = made
         at, rank = self._slot(key), np.arange(len(key))
         self.probes = 0
         while len(key):  # linear probing, all keys a step at a time
-            free = self.keys[at] < 0
+            free = self.keys[at] == EMPTY
             _, lead = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
             lead = lead[free[lead]]
             self.keys[at[lead]], self.ranks[at[lead]] = key[lead], rank[lead]
@@ -75,16 +76,17 @@ class Merges:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = iter(range(256, 512))
         alphabet = [chr(x) if x in plain else chr(next(other)) for x in range(256)]
-        self.inner = np.array([vocab[c] for c in alphabet], np.int64)
-        self.last = np.array([vocab[c + suffix] for c in alphabet], np.int64)
+        self.inner = np.array([vocab[c] for c in alphabet], np.uint32)
+        self.last = np.array([vocab[c + suffix] for c in alphabet], np.uint32)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int32)
 
     def rank(self, key: np.ndarray) -> np.ndarray:
         at = self._slot(key)
-        out = np.where(self.keys[at] == key, self.ranks[at], NONE)
-        todo = np.flatnonzero((out == NONE) & (self.keys[at] >= 0))
+        here = self.keys[at]
+        out = np.where(here == key, self.ranks[at], NONE)
+        todo = np.flatnonzero((here != key) & (here != EMPTY))
         for step in range(1, self.probes):
             if not len(todo):
                 break
@@ -92,7 +94,7 @@ class Merges:
             here = self.keys[where]
             hit = here == key[todo]
             out[todo[hit]] = self.ranks[where[hit]]
-            todo = todo[~hit & (here >= 0)]
+            todo = todo[~hit & (here != EMPTY)]
         return out
 
     def ids(self, parts: list[bytes], new_word: np.ndarray) -> tuple[bytes, list[int]]:
@@ -102,19 +104,19 @@ class Merges:
         which have no ids.
         """
         size = np.fromiter(map(len, parts), np.int64, len(parts))
-        word = np.repeat(np.cumsum(new_word), size)
+        word = np.repeat(np.cumsum(new_word, dtype=np.int32), size)
         part = np.repeat(np.arange(len(parts), dtype=np.int32), size)
         data = np.frombuffer(b"".join(parts), np.uint8)
         last = np.cumsum(size) - 1
         symbol = self.inner[data]
         symbol[last] = self.last[data[last]]
         real = ~np.repeat(new_word, size)
-        symbol, part, place = symbol[real], part[real], np.flatnonzero(real)
-        out = np.full(len(data), -1)
+        symbol, part, place = symbol[real], part[real], np.flatnonzero(real).astype(np.int32)
+        out = np.full(len(data), EMPTY)
         while len(symbol):
             rank = np.full(len(symbol), NONE)
             same = np.flatnonzero(part[:-1] == part[1:])
-            rank[same] = self.rank((symbol[same] << 16) | symbol[same + 1])
+            rank[same] = self.rank((symbol[same] << np.uint32(16)) | symbol[same + 1])
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(part)]))
             live = least != NONE
@@ -130,7 +132,7 @@ class Merges:
             keep = np.ones(len(symbol), bool)
             keep[hit + 1] = False
             symbol, part, place = symbol[keep], part[keep], place[keep]
-        got = np.flatnonzero(out >= 0)
+        got = np.flatnonzero(out != EMPTY)
         cuts = 2 * np.searchsorted(word[got], np.arange(int(new_word.sum()) + 2))
         return out[got].astype("<u2").tobytes(), cuts.tolist()
 
@@ -176,7 +178,7 @@ class WordIds:
         split = [raw.split() for raw in raws]
         new = set().union(*split).difference(self.known)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         for words in split:
             out.append(np.frombuffer(b"".join([*map(get, words), end]), "<u2"))
         return out
