@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.operators.instances import assign_voronoi, assign_watershed, crowns, trees
-from loomgrid.operators.pixels import infer, palm_mask
+from loomgrid.operators.pixels import blend, decide, palm_mask, to_tiles
 from loomgrid.operators.seeds import find_seeds
 from loomgrid.operators.spatial import checkpointed, deduplicate_boxes
 
@@ -58,12 +58,8 @@ def segment(px: DataFrame, scorer: Callable[[DataFrame], DataFrame], tile: int =
 
     px: row, col, valid and what the scorer reads.
     """
-    from loomgrid.operators.pixels import blend, to_tiles
-
     tiled = scorer(to_tiles(px, tile, overlap))
     blended = checkpointed(blend(tiled, tile, overlap))
-    from loomgrid.operators.pixels import decide
-
     heat = blended.filter(F.col("cls") == palm_class).select("row", "col", F.col("p").alias("heat"))
     return decide(blended).drop("p").join(heat, ["row", "col"], "left").withColumnRenamed("heat", "p")
 
@@ -71,6 +67,3 @@ def segment(px: DataFrame, scorer: Callable[[DataFrame], DataFrame], tile: int =
 def segment_and_extract(px: DataFrame, scorer, transform: tuple, tile: int = 512, overlap: int = 128, palm_class: int = 1, **tuning) -> DataFrame:
     out = segment(px, scorer, tile, overlap, palm_class).withColumn("scene", F.lit("scene"))
     return extract(out, transform, palm_class, **tuning)
-
-
-__all__ = ["extract", "extract_trees", "infer", "segment", "segment_and_extract"]
