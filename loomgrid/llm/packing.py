@@ -321,6 +321,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, max(1.0, n_tokens / max(1, n_docs))))
     n_shards = max(1, -(-n_tokens // SHARD))
+    # A shard is a partition: hashing shard numbers again would put several into one task.
     shard = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(n_shards))
-    dealt = tokens.select(shard.alias("shard"), "doc_id", "row_key", "ids").repartition(int(n_shards), "shard").sortWithinPartitions("shard", "doc_id", "row_key")
+    dealt = tokens.select(shard.alias("shard"), "doc_id", "row_key", "ids").repartitionById(int(n_shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "row_key")
     return dealt.mapInArrow(_packed(shared, length, with_ids), PIECE)
