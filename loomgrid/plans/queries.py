@@ -380,12 +380,21 @@ def a4(v):
     return I.contours(_instances(v)).drop("ring")
 
 
+def _first_pixels(px):
+    c = S.components(px.select("scene", "row", "col"), 2)
+    return c.select("row", "col", F.floor(F.col("comp") / (1 << 31)).cast("int").alias("first_row"), (F.col("comp") % (1 << 31)).cast("int").alias("first_col"))
+
+
 @query("a5_components", """, m AS (SELECT row, col, row * 50 + col AS id FROM px WHERE palm AND p > 0.3 AND row < 30), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
 reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, min(b) AS least FROM r GROUP BY a)
 SELECT row, col, CAST(least // 50 AS INT) AS first_row, CAST(least % 50 AS INT) AS first_col FROM m JOIN reach ON id = a""", "px")
 def a5(v):
-    c = S.components(v.px().filter("palm and p > 0.3 and row < 30").select("scene", "row", "col"), 2)
-    return c.select("row", "col", F.floor(F.col("comp") / (1 << 31)).cast("int").alias("first_row"), (F.col("comp") % (1 << 31)).cast("int").alias("first_col"))
+    return _first_pixels(v.px().filter("palm and p > 0.3 and row < 30"))
+
+
+@query("a5_components_all")
+def a5_all(v):
+    return _first_pixels(v.px().filter("palm and p > 0.3"))
 
 
 @query("a6_a7_plateau_seeds")
