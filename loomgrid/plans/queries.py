@@ -259,11 +259,20 @@ def j4(v):
     return T.split_overlaps(_tiles(v), 2.0)
 
 
+def _candidates(v, crowns):
+    n = crowns.select(F.col("id").alias("annot_id"), (F.col("id") % 4).cast("int").alias("cls"), (F.col("x0") + 0.3).alias("x0"), (F.col("y0") + 0.3).alias("y0"), (F.col("x1") + 0.1).alias("x1"), (F.col("y1") + 0.1).alias("y1"))
+    return T.candidates(_tiles(v), n, 2.0)
+
+
 @query("j5_candidates", _TILES + """, n AS (SELECT id AS annot_id, CAST(id % 4 AS INT) AS cls, x0 + 0.3::DOUBLE AS x0, y0 + 0.3::DOUBLE AS y0, x1 + 0.1::DOUBLE AS x1, y1 + 0.1::DOUBLE AS y1 FROM crown WHERE id % 2 = 0)
 SELECT tile_id, annot_id, cls FROM t JOIN n ON t.x0 <= n.x1 AND t.x1 >= n.x0 AND t.y0 <= n.y1 AND t.y1 >= n.y0""", "crown")
 def j5(v):
-    n = v.crown().filter("id % 2 = 0").select(F.col("id").alias("annot_id"), (F.col("id") % 4).cast("int").alias("cls"), (F.col("x0") + 0.3).alias("x0"), (F.col("y0") + 0.3).alias("y0"), (F.col("x1") + 0.1).alias("x1"), (F.col("y1") + 0.1).alias("y1"))
-    return T.candidates(_tiles(v), n, 2.0)
+    return _candidates(v, v.crown().filter("id % 2 = 0"))
+
+
+@query("j5_candidates_all")
+def j5_all(v):
+    return _candidates(v, v.crown())
 
 
 @query("j6_reject_straddling", _TILES + """ SELECT tile_id, split, region_id FROM t WHERE NOT EXISTS (SELECT 1 FROM reg r WHERE r.region_id <> t.region_id
@@ -615,12 +624,21 @@ def u3(v):
 
 # Raster to vector, geometry
 
+def _burned(pixels, crowns):
+    px = pixels.select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"), (F.col("col") < 45).alias("inside"))
+    polygons = crowns.select((F.col("id") % 5 + 1).cast("int").alias("cls"), G.box_ring("x0", "y0", "x1", "y1").alias("ring"), "x0", "y0", "x1", "y1")
+    return T.burn(px, polygons, 2.0, "inside").select("row", "col", "mask")
+
+
 @query("b1_burn", """, c AS (SELECT *, CAST(id % 5 + 1 AS INT) AS cls FROM crown WHERE id % 3 = 0), g AS (SELECT row, col, col + 0.5::DOUBLE AS x, row + 0.5::DOUBLE AS y FROM px WHERE row < 40)
 SELECT row, col, CASE WHEN col < 45 THEN coalesce(max(cls), 0) ELSE 0 END AS mask FROM g LEFT JOIN c ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY row, col""", "px crown")
 def b1(v):
-    px = v.px().filter("row < 40").select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"), (F.col("col") < 45).alias("inside"))
-    polygons = v.crown().filter("id % 3 = 0").select((F.col("id") % 5 + 1).cast("int").alias("cls"), G.box_ring("x0", "y0", "x1", "y1").alias("ring"), "x0", "y0", "x1", "y1")
-    return T.burn(px, polygons, 2.0, "inside").select("row", "col", "mask")
+    return _burned(v.px().filter("row < 40"), v.crown().filter("id % 3 = 0"))
+
+
+@query("b1_burn_all")
+def b1_all(v):
+    return _burned(v.px(), v.crown())
 
 
 @query("b2_b3_affine", "SELECT id, 0.31::DOUBLE * x0 + 0.0::DOUBLE * y0 + 400000.0::DOUBLE AS x, 0.0::DOUBLE * x0 + -0.31::DOUBLE * y0 + 2700000.0::DOUBLE AS y FROM crown", "crown")
