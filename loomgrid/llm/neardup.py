@@ -1,14 +1,14 @@
 """Near-duplicate documents: MinHash signatures joined by multi-index Hamming, confirmed on full sets.
 
 A document is its set of distinct five-word shingles. Equal sets fold to one
-representative. Its signature has 24 symbols of 16 bits (one MinHash each) in six chunks of four.
-If two signatures differ in at most 11 symbols, then by pigeonhole some chunk differs
-in at most one; enumerating that one allowed error as a wildcard (four patterns of
-three symbols a chunk) makes every such pair share a key. A pair at
-similarity 0.85 is outside that distance and all chunks with probability 2e-6.
+representative. Its signature has symbols of 16 bits (one MinHash each) in chunks of four: six chunks
+for similarity 0.85, eight for 0.80 (``chunk_count``). If two signatures differ in fewer symbols than twice the
+chunks, then by pigeonhole some chunk differs in at most one; enumerating that one allowed error as a wildcard
+(four patterns of three symbols a chunk) makes every such pair share a key. A pair at
+the least similarity asked for is outside that distance and all chunks with probability 2e-6 at most.
 
 Keys are not expanded into pairs. Within a key's bucket the documents
-whose further 40 symbols agree as well form local components, which give one edge for each document; the
+whose 64 symbols agree as well form local components, which give one edge for each document; the
 components of those edges are clusters, each a superset of the linked
 documents. Inside a cluster full shingle sets are compared in tiles of bounded size; a tile
 returns one edge for each document. Buckets too large for one task count as one component.
@@ -16,7 +16,8 @@ returns one edge for each document. Buckets too large for one task count as one
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,32 @@ from loomgrid.llm.common import documents, lookup, small_batches, table
 from loomgrid.llm.words import NOT_SPACE, Words, mix
 
 SHINGLE = 5
-CHUNKS, PER_CHUNK, SYMBOLS = 6, 4, 64
-#: Of the 64 symbols' low bytes so many must agree in a bucket; a pair at similarity 0.85 has fewer with probability 1e-7.
-AGREE = 36
+PER_CHUNK, SYMBOLS = 4, 64
+#: Largest probability that a pair at the least similarity shares no chunk pattern, or that too few of its symbols agree in a bucket.
+NO_KEY, TOO_FEW = 2e-6, 1e-8
 #: Documents of a bucket that one task compares, and shingles of a tile.
 BUCKET, TILE = 4096, 500_000
 SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
+def chunk_count(percent: int) -> int:
+    """Fewest chunks of which a pair at ``percent`` matches none, one symbol of each left open, with probability NO_KEY at most."""
+    s = percent / 100
+    miss = 1 - s**PER_CHUNK - PER_CHUNK * s ** (PER_CHUNK - 1) * (1 - s)
+    found = [k for k in range(1, SYMBOLS // PER_CHUNK + 1) if miss**k <= NO_KEY]
+    if not found:
+        raise ValueError(f"{SYMBOLS} symbols are too few for {percent} percent")
+    return found[0]
+
+
+def least_agreeing(percent: int) -> int:
+    """Of the 64 symbols' low bytes so many must agree in a bucket; a pair at ``percent`` has fewer with probability TOO_FEW at most."""
+    s, p, k = percent / 100, 0.0, 0
+    while k < SYMBOLS and (p := p + math.comb(SYMBOLS, k) * s**k * (1 - s) ** (SYMBOLS - k)) <= TOO_FEW:
+        k += 1
+    return k
+
+
 def shingle_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every shingle, and the number of the text it is in; a shorter text is one shingle."""
     words = Words([x.lower() for x in raws], NOT_SPACE)
@@ -64,40 +83,45 @@ def shingle_sets(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(text[new], minlength=len(raws))
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets, n = shingle_sets(b.column(1).cast(pa.binary()).to_pylist())
-        some = np.flatnonzero(n)
-        starts = (np.cumsum(n) - n)[some]
-        chunks = np.zeros((b.num_rows, CHUNKS), np.uint64)
-        low = np.zeros((b.num_rows, SYMBOLS), np.uint8)
-        prints = np.zeros((b.num_rows, 2), np.uint64)
-        if len(some):
-            for k, seed in enumerate(SEEDS):
-                least = mix(np.minimum.reduceat(sets * seed, starts)) & np.uint64(0xFFFF)
-                low[some, k] = least
-                if k < CHUNKS * PER_CHUNK:
-                    chunks[some, k // PER_CHUNK] |= least << np.uint64(16 * (k % PER_CHUNK))
-            for k in range(2):
-                prints[some, k] = np.add.reduceat(mix(sets + SEEDS[k]), starts)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), *(pa.array(prints[:, k].view(np.int64)) for k in range(2)), *(pa.array(chunks[:, k].copy().view(np.int64)) for k in range(CHUNKS)), pa.array([x.tobytes() for x in low])],
-            names=["doc_id", "n_shingles", "f1", "f2", *(f"c{k}" for k in range(CHUNKS)), "low"],
-        )
-
-
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"c{k} long" for k in range(CHUNKS)) + ", low binary"
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set fingerprint (f1, f2), six chunks of signature, and the 64 low bytes."""
-    return documents(docs).select("doc_id", "text").mapInArrow(_sign, SIGNED)
-
-
-def keys(reps: DataFrame) -> DataFrame:
-    """Chunk patterns with one wildcard: 24 rows (key, rep, low) of each representative."""
+def _sign(n_chunks: int) -> Callable:
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, n = shingle_sets(b.column(1).cast(pa.binary()).to_pylist())
+            some = np.flatnonzero(n)
+            starts = (np.cumsum(n) - n)[some]
+            chunks = np.zeros((b.num_rows, n_chunks), np.uint64)
+            low = np.zeros((b.num_rows, SYMBOLS), np.uint8)
+            prints = np.zeros((b.num_rows, 2), np.uint64)
+            if len(some):
+                for k, seed in enumerate(SEEDS):
+                    least = mix(np.minimum.reduceat(sets * seed, starts)) & np.uint64(0xFFFF)
+                    low[some, k] = least
+                    if k < n_chunks * PER_CHUNK:
+                        chunks[some, k // PER_CHUNK] |= least << np.uint64(16 * (k % PER_CHUNK))
+                for k in range(2):
+                    prints[some, k] = np.add.reduceat(mix(sets + SEEDS[k]), starts)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), *(pa.array(prints[:, k].view(np.int64)) for k in range(2)), *(pa.array(chunks[:, k].copy().view(np.int64)) for k in range(n_chunks)), pa.array([x.tobytes() for x in low])],
+                names=["doc_id", "n_shingles", "f1", "f2", *(f"c{k}" for k in range(n_chunks)), "low"],
+            )
+
+    return task
+
+
+def _signed(n_chunks: int) -> str:
+    return "doc_id long, n_shingles long, f1 long, f2 long, " + ", ".join(f"c{k} long" for k in range(n_chunks)) + ", low binary"
+
+
+def signatures(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, set fingerprint (f1, f2), the chunks of signature, and the 64 low bytes."""
+    n_chunks = chunk_count(percent)
+    return documents(docs).select("doc_id", "text").mapInArrow(_sign(n_chunks), _signed(n_chunks))
+
+
+def keys(reps: DataFrame, n_chunks: int) -> DataFrame:
+    """Chunk patterns with one wildcard: four rows a chunk (key, rep, low) of each representative."""
     patterns = []
-    for c in range(CHUNKS):
+    for c in range(n_chunks):
         for e in range(PER_CHUNK):
             mask = ~(0xFFFF << (16 * e)) & 0xFFFFFFFFFFFFFFFF
             mask -= (mask >> 63) << 64
@@ -148,27 +172,30 @@ def _edges(batches: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _bucket_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, rep, low) sorted by key, rep: edges to the smallest member of each local component."""
-    out: list[tuple[int, int]] = []
-    for parts in by_group(batches, [0]):
-        reps = [x for p in parts for x in p.column(1).to_pylist()]
-        low = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-        todo = np.arange(len(reps))
-        while len(todo) > 1:  # breadth first: each round takes one unreached document and all it reaches
-            reached, front = [todo[0]], [todo[0]]
-            todo = todo[1:]
-            while front and len(todo):
-                near = (low[todo] == low[front.pop()]).sum(axis=1) >= AGREE
-                front += todo[near].tolist()
-                reached += todo[near].tolist()
-                todo = todo[~near]
-            least = min(reached)
-            out += [(reps[x], reps[least]) for x in reached if x != least]
-        if len(out) > 10_000:
-            yield _edges(out)
-            out = []
-    yield _edges(out)
+def _bucket_edges(agree: int) -> Callable:
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, rep, low) sorted by key, rep: edges to the smallest member of each local component."""
+        out: list[tuple[int, int]] = []
+        for parts in by_group(batches, [0]):
+            reps = [x for p in parts for x in p.column(1).to_pylist()]
+            low = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+            todo = np.arange(len(reps))
+            while len(todo) > 1:  # breadth first: each round takes one unreached document and all it reaches
+                reached, front = [todo[0]], [todo[0]]
+                todo = todo[1:]
+                while front and len(todo):
+                    near = (low[todo] == low[front.pop()]).sum(axis=1) >= agree
+                    front += todo[near].tolist()
+                    reached += todo[near].tolist()
+                    todo = todo[~near]
+                least = min(reached)
+                out += [(reps[x], reps[least]) for x in reached if x != least]
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return task
 
 
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
@@ -253,28 +280,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     runs of anything but space and the characters 9 to 13. A text of fewer
     than five words is one shingle. Null, empty and blank texts have none and
     are linked with nothing. Rows that share a doc_id are one node. A null doc_id is a node
-    below all others (its component_id is null). An empty table gives an empty result. percent must be at least 85,
-    for which signature and filter are dimensioned.
+    below all others (its component_id is null). An empty table gives an empty result. Signature and filter are
+    dimensioned by percent; below 65 the 64 symbols don't suffice and ValueError is raised.
     """
-    if percent < 85:
-        raise ValueError("the signature is dimensioned for 85 percent and more")
+    n_chunks = chunk_count(percent)
     spark = docs.sparkSession
     small_batches(spark, 250)
     number = F.coalesce("doc_id", F.lit(-(2**63)))
     docs = documents(docs).withColumn("doc_id", number)
-    signed = table(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED), "near-signed")
-    chunks = [f"c{k}" for k in range(CHUNKS)]
+    signed = table(docs.select("doc_id", "text").mapInArrow(_sign(n_chunks), _signed(n_chunks)), "near-signed")
+    chunks = [f"c{k}" for k in range(n_chunks)]
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), *(F.first(c).alias(c) for c in chunks), F.first("low").alias("low"), F.first("n_shingles").alias("n_shingles"))
     reps = table(classes, "near-classes")
 
-    entries = keys(reps)
+    entries = keys(reps, n_chunks)
     buckets = table(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1"), "near-buckets")
     total = buckets.agg(F.sum("n")).first()[0] or 0
     met = lookup(entries, buckets, ["key"], "n", total)
     small = met.filter(F.col("n") <= BUCKET).select("key", "rep", "low").repartition("key").sortWithinPartitions("key", "rep")
     large = met.filter((F.col("n") > BUCKET) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    clusters = table(components(small.mapInArrow(_bucket_edges, EDGE).unionAll(large), "near-cluster-edges"), "near-clusters")
+    clusters = table(components(small.mapInArrow(_bucket_edges(least_agreeing(percent)), EDGE).unionAll(large), "near-cluster-edges"), "near-clusters")
 
     # Members of a cluster in order of size, cut into blocks of TILE / 2 shingles; all pairs of
     # blocks of like size make the tiles. One block, the usual case, is one tile.
