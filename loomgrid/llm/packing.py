@@ -1,8 +1,9 @@
 """Packing by lexical retrieval: a sharded BM25 index fills each window with unused neighbours of its seed.
 
-Documents are tokenised once into a table. A shard is a hash range of rows of
+Documents are tokenised once into a table and put in an order of their content: by MinHashes of their
+terms, rarer terms weighing more, so that documents with much in common stand close. A shard is a range of that order of
 about SHARD tokens; one task holds a shard's postings. The window of a seed takes its best
-unused neighbours by BM25 (the seed's rarest terms as query), then, when none is left, the next
+unused neighbours of the shard by BM25 (all terms of the seed as query), then, when none is left, the next
 unused document. The document that does not fit is cut and seeds the next window.
 What is left at a shard's end is cut into powers of two, so nothing is padded.
 Document frequencies and the mean length are those of all documents.
@@ -14,6 +15,7 @@ import json
 import os
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,10 +25,15 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.common import documents, small_batches, table
 from loomgrid.llm.neardup import by_group
+from loomgrid.llm.words import mix
 
 LENGTH, END = 4096, 2
 SHARD = 4_000_000
-QUERY_TERMS, K1, B = 16, 1.2, 0.75
+K1, B = 1.2, 0.75
+#: MinHashes in a document's place, and places that the bounds of a shard are taken from.
+PLACES, BOUNDS = 8, 200
+#: Terms in more than 1 / DENSE of a shard's documents are held as rows of a matrix.
+DENSE = 8
 #: Words whose ids a worker remembers.
 REMEMBERED = 800_000
 
@@ -203,6 +210,48 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], names=["term", "df"])
 
 
+def draws(idf: np.ndarray) -> np.ndarray:
+    """PLACES rows of exponential draws, one of rate idf for each term: the least of a document's terms is its MinHash."""
+    at = np.arange(1, PLACES * len(idf) + 1, dtype=np.uint64).reshape(PLACES, -1)
+    unit = ((mix(at) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+    return (-np.log(unit) / np.maximum(idf, 1e-6)).astype(np.float32)
+
+
+def place(doc: np.ndarray, row: int, drawn: np.ndarray) -> bytes:
+    """Place of a document among all: its MinHashes, then a hash of the row so that no group of equals is too large for a shard."""
+    terms = np.unique(doc)
+    return terms[drawn[:, terms].argmin(axis=1)].astype(">u2").tobytes() + (row & (2**64 - 1)).to_bytes(8, "big")
+
+
+def bounds(places: list[tuple[bytes, int]], n_shards: int) -> list[bytes]:
+    """First places of all shards but the first, by equal shares of the tokens of ``places`` (place, tokens)."""
+    places = sorted(places)
+    ends = np.cumsum([n for _, n in places])
+    at = np.searchsorted(ends, np.arange(1, n_shards) * (ends[-1] / n_shards)) if places else []
+    return sorted({places[i][0] for i in at})
+
+
+def _places(shared, step: int) -> Callable:
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (row, ids, n): places of a part of the rows with the tokens each stands for, long rows all."""
+        drawn = draws(shared.value[0])
+        for b in batches:
+            found = [(place(np.frombuffer(x, "<u2"), k, drawn), max(n, step)) for k, x, n in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) if k % step < n]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["place", "n"])
+
+    return task
+
+
+def _dealt(shared, firsts: list[bytes]) -> Callable:
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = draws(shared.value[0])
+        for b in batches:
+            shard = [bisect_right(firsts, place(np.frombuffer(x, "<u2"), k, drawn)) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), b.column(2), b.column(3), b.column(1)], names=["shard", "doc_id", "row_key", "ids"])
+
+    return task
+
+
 class Index:
     """BM25 postings of one shard."""
 
@@ -215,20 +264,42 @@ class Index:
         size = np.repeat(np.array([len(d) for d in docs], np.float32), n)
         weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
         order = np.argsort(terms, kind="stable")
-        self.owner, self.weight = owner[order], weight[order].astype(np.float32)
-        self.starts = np.searchsorted(terms[order], np.arange((1 << 16) + 1))
-        self.idf, self.n = idf, len(docs)
+        self.owner, self.weight, self.term = owner[order], weight[order].astype(np.float32), terms[order]
+        self.n = self.left = len(docs)
+        self._arrange()
+
+    def _arrange(self) -> None:
+        self.starts = np.searchsorted(self.term, np.arange((1 << 16) + 1))
+        common = np.flatnonzero(np.diff(self.starts) * DENSE > self.left)
+        self.line = np.full(1 << 16, -1)
+        self.line[common] = np.arange(len(common))
+        # Columns of the matrix are the documents that have postings left.
+        self.column = np.unique(self.owner)
+        self.dense = np.zeros((len(common), len(self.column)), np.float32)
+        for k, t in enumerate(common):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.dense[k, np.searchsorted(self.column, self.owner[at])] = self.weight[at]
+
+    def without(self, unused: np.ndarray) -> None:
+        """Drop the postings of used documents, when a quarter of the documents have been used since the last time."""
+        left = int(unused.sum())
+        if 4 * left <= 3 * self.left:
+            keep = unused[self.owner]
+            self.owner, self.weight, self.term, self.left = self.owner[keep], self.weight[keep], self.term[keep], left
+            self._arrange()
 
     def scores(self, doc: np.ndarray) -> np.ndarray:
-        """BM25 of all documents for the rarest terms of ``doc`` that the shard has twice or more."""
-        terms = np.unique(doc)
-        terms = terms[self.starts[terms + np.int64(1)] - self.starts[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        at = [slice(self.starts[t], self.starts[t + 1]) for t in terms.astype(np.int64)]
+        """BM25 of all documents that have postings, for all terms of ``doc``."""
+        terms = np.unique(doc).astype(np.int64)
+        line = self.line[terms]
+        asked = np.zeros(len(self.dense), np.float32)
+        asked[line[line >= 0]] = 1
+        out = np.zeros(self.n, np.float32)
+        out[self.column] = asked @ self.dense
+        at = [slice(self.starts[t], self.starts[t + 1]) for t in terms[line < 0].tolist()]
         if not at:
-            return np.zeros(self.n, np.float32)
-        return np.bincount(np.concatenate([self.owner[s] for s in at]), np.concatenate([self.weight[s] for s in at]), self.n)
+            return out
+        return out + np.bincount(np.concatenate([self.owner[s] for s in at]), np.concatenate([self.weight[s] for s in at]), self.n)
 
 
 def pack(docs: list[np.ndarray], index: Index, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
@@ -250,6 +321,7 @@ def pack(docs: list[np.ndarray], index: Index, length: int = LENGTH) -> list[lis
                 break
             unused[doc], start = False, 0
         if scores is None:
+            index.without(unused)
             scores = index.scores(docs[doc])
         take = min(room, len(docs[doc]) - start)
         window.append((doc, start, take))
@@ -321,7 +393,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, max(1.0, n_tokens / max(1, n_docs))))
     n_shards = max(1, -(-n_tokens // SHARD))
+    row = F.xxhash64("doc_id", "row_key").alias("row")
+    # A document stands for ``step`` tokens at least, so the driver gets about n_tokens / step places.
+    step = max(1, n_tokens // (BOUNDS * n_shards))
+    found = tokens.select(row, "ids", "n").mapInArrow(_places(shared, step), "place binary, n long").collect() if n_shards > 1 else []
+    firsts = bounds([(bytes(x), n) for x, n in found], n_shards)
     # A shard is a partition: hashing shard numbers again would put several into one task.
-    shard = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(n_shards))
-    dealt = tokens.select(shard.alias("shard"), "doc_id", "row_key", "ids").repartitionById(int(n_shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "row_key")
+    placed = tokens.select(row, "ids", "doc_id", "row_key").mapInArrow(_dealt(shared, firsts), "shard long, doc_id long, row_key long, ids binary")
+    dealt = placed.repartitionById(int(n_shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "row_key")
     return dealt.mapInArrow(_packed(shared, length, with_ids), PIECE)

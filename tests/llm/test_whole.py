@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from loomgrid.llm import neardup as ND
+from loomgrid.llm import packing as PA
 from tests.llm.test_operators import components, prose
 
 
@@ -21,3 +23,31 @@ def test_near_stage_at_80(spark):
     assert all(r.kept for r in ND.near_duplicates(docs).collect())
     with pytest.raises(ValueError):
         ND.near_duplicates(docs, 60)
+
+
+def test_packing_puts_near_copies_together(spark, monkeypatch):
+    monkeypatch.setattr(PA, "SHARD", 4000)
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(80)]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join([*words[:40], "other", *words[41:]]))]
+    got = PA.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=False).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    tokens = {r.doc_id: r.doc_tokens for r in got}
+    sizes = np.bincount(list(shard.values()), [tokens[i] for i in shard])
+    assert len(shard) == 120 and len(sizes) >= 5 and sizes.max() < 2 * sizes.mean()
+    assert sum(shard[k] == shard[1000 + k] for k in range(60)) >= 48
+
+
+def test_packing_scores_all_terms():
+    rng = np.random.default_rng(1)
+    docs = [np.unique(rng.zipf(1.3, 200) % 3000).astype("<u2") for _ in range(80)]
+    df = np.bincount(np.concatenate(docs), minlength=1 << 16)
+    idf = np.log(1 + (80 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = sum(map(len, docs)) / 80
+    index, unused = PA.Index(docs, idf, mean), np.arange(80) % 3 == 0
+    weight = lambda d: (PA.K1 + 1) / (1 + PA.K1 * (1 - PA.B + PA.B * len(d) / mean))
+    want = np.array([idf[np.intersect1d(d, docs[9])].sum() * weight(d) for d in docs])
+    assert np.allclose(index.scores(docs[9]), want, atol=1e-3)
+    index.without(unused)
+    assert np.allclose(index.scores(docs[9])[unused], want[unused], atol=1e-3)
