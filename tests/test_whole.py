@@ -62,3 +62,15 @@ def test_candidates(spark, layers):
     want = sorted((t, i, i % 4) for t, a0, b0, a1, b1 in tiles for i, x0, y0, x1, y1 in notes if a0 <= x1 and a1 >= x0 and b0 <= y1 and b1 >= y0)
     got = QUERIES["j5_candidates_all"](spark, folder).collect()
     assert sorted((r.tile_id, r.annot_id, r.cls) for r in got) == want and any(i % 2 for _, i, _ in want)
+
+
+def test_integrity_check(spark):
+    from loomgrid.plans.integrity import integrity_check
+
+    files = lambda *rows: spark.createDataFrame(rows, "split string, stem string")
+    images = files(("train", "a"), ("train", "b"), ("train", "b"), ("val", "a"), ("other", "z"))
+    masks = files(("train", "a"), ("val", "a"), ("val", "c"), ("val", "d"), ("test", "b"))
+    tiles = [(1, "train", 0.0, 0.0, 2.0, 2.0), (2, "val", 2.0, 1.0, 4.0, 3.0), (3, "val", 1.0, 1.0, 3.0, 3.0), (4, "test", 9.0, 9.0, 11.0, 11.0), (5, "train", 8.0, 8.0, 9.5, 9.5), (6, "other", 0.0, 0.0, 9.0, 9.0)]
+    got = integrity_check(images, masks, spark.createDataFrame(tiles, "tile_id long, split string, x0 double, y0 double, x1 double, y1 double"), 2.0)
+    want = {("train", None, "image without mask", 1), ("val", None, "mask without image", 2), ("test", None, "mask without image", 1), ("train", "val", "overlap", 2), ("train", "test", "overlap", 1)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 5
