@@ -252,7 +252,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     judged row by row; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     docs = documents(docs)
     found = None
     for ids, texts in _blocks(benchmark):
@@ -299,8 +299,11 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all their columns, without the contaminated ones (same judgement as find_contamination)."""
-    bad = find_contamination(docs, benchmark, window).filter(contaminated()).select(F.col("doc_id").alias("_lg_id"), F.col("row_key").alias("_lg_key")).distinct()
+    """The rows of ``docs``, all their columns, that hold no window of ``benchmark``, however long they are.
+
+    Rows without words stay, and all rows do where the benchmark is empty; repeated rows are judged alike, and an empty table stays empty.
+    """
+    bad = find_contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("_lg_id"), F.col("row_key").alias("_lg_key")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_lg_id")) & (F.xxhash64(text) == F.col("_lg_key"))
     return docs.join(bad, on, "left_anti")
