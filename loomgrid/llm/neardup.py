@@ -9,30 +9,36 @@ the least similarity asked for is outside that distance and all chunks with prob
 
 Keys are not expanded into pairs. Within a key's bucket the documents
 whose 64 symbols agree as well form local components, which give one edge for each document; the
-components of those edges are clusters, each a superset of the linked
-documents. Inside a cluster full shingle sets are compared in tiles of bounded size; a tile
-returns one edge for each document. Buckets too large for one task count as one component.
+components of those edges are clusters, each a superset of the linked documents. Buckets above BUCKET count as one component.
+
+Inside a cluster full shingle sets are compared, one document against all others of its tile, until one component is left
+(``linked``), which gives one edge for each document. A cluster too large for a task is first compared with a few of its members; only
+what that leaves open is cut into tiles.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import documents, lookup, small_batches, table
+from loomgrid.llm.common import documents, lookup, slices, small_batches, table
 from loomgrid.llm.words import NOT_SPACE, Words, mix
 
 SHINGLE = 5
 PER_CHUNK, SYMBOLS = 4, 64
 #: Largest probability that a pair at the least similarity shares no chunk pattern, or that too few of its symbols agree in a bucket.
 NO_KEY, TOO_FEW = 2e-6, 1e-8
-#: Documents of a bucket that one task compares, and shingles of a tile.
-BUCKET, TILE = 4096, 500_000
+#: Documents of a bucket whose signatures one task compares; load of a tile, where a document counts its shingles and DOCUMENT more.
+BUCKET, TILE, DOCUMENT = 1000, 500_000, 25
+#: Documents of a tile whose distances to all others are kept.
+PIVOTS = 16
 SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
@@ -85,7 +91,7 @@ def shingle_sets(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(n_chunks: int) -> Callable:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             sets, n = shingle_sets(b.column(1).cast(pa.binary()).to_pylist())
             some = np.flatnonzero(n)
             starts = (np.cumsum(n) - n)[some]
@@ -119,14 +125,14 @@ def signatures(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keys(reps: DataFrame, n_chunks: int) -> DataFrame:
-    """Chunk patterns with one wildcard: four rows a chunk (key, rep, low) of each representative."""
+    """Chunk patterns with one wildcard: four rows a chunk (key, rep) of each representative."""
     patterns = []
     for c in range(n_chunks):
         for e in range(PER_CHUNK):
             mask = ~(0xFFFF << (16 * e)) & 0xFFFFFFFFFFFFFFFF
             mask -= (mask >> 63) << 64
             patterns.append(F.xxhash64(F.lit(c * PER_CHUNK + e), F.col(f"c{c}").bitwiseAND(F.lit(mask).cast("long"))))
-    return reps.select("rep", "low", F.explode(F.array(*patterns)).alias("key"))
+    return reps.select("rep", F.explode(F.array(*patterns)).alias("key"))
 
 
 class Forest:
@@ -228,50 +234,148 @@ def _star(e: DataFrame, larger: bool) -> DataFrame:
 
 
 def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets, n = shingle_sets(b.column(2).cast(pa.binary()).to_pylist())
+    """Rows (cluster, rep, large, text): the sorted distinct shingles instead of the text, and a set's load."""
+    for b in slices(batches, 3):
+        sets, n = shingle_sets(b.column(3).cast(pa.binary()).to_pylist())
         ends = np.cumsum(n)
         parts = [sets[j - k : j].tobytes() for j, k in zip(ends.tolist(), n.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(parts, pa.binary())], names=["cluster", "rep", "tile", "shingles"])
+        some = pa.array(n > 0)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n + DOCUMENT, pa.int64()), pa.array(parts, pa.binary())], names=["cluster", "rep", "large", "load", "shingles"]).filter(some)
+
 
+SETS = "cluster long, rep long, large boolean, load long, shingles binary"
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning edges of the graph of sets with 100 * |A and B| >= percent * |A or B|; exact."""
-    size = np.array([len(s) for s in sets])
-    all_ids, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
-    shared = np.bincount(ids, minlength=len(all_ids)) > 1
-    keep = shared[ids]
-    ids, owner = np.unique(ids[keep], return_inverse=True)[1], owner[keep]
+
+def linked(sets: list[np.ndarray], percent: int, family: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the graph of sets (sorted, not empty) with 100 * |A and B| >= percent * |A or B|; exact.
+
+    ``family``: sets with the same number above 0 are known to be connected; those edges aren't returned.
+    One document after the other is compared with all sets of a fitting size, until all but the largest component have been
+    taken: any pair left lies within it. The Jaccard distance is a metric, so the distances to the first
+    documents taken rule most others out beforehand. Memory is in proportion to the shingles, never to the pairs.
+    """
     n = len(sets)
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(ids, kind="stable")
-    ids, owner = ids[order], owner[order]
-    width = 4096
-    for start in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
-        i, j = np.searchsorted(ids, [start, start + width])
-        x = np.zeros((n, width), np.float32)
-        x[owner[i:j], ids[i:j] - start] = 1
-        both += x @ x.T
-    union = size[:, None] + size[None, :] - both
-    a, b = np.nonzero(np.triu(100 * both >= percent * union, 1))
-    forest = Forest(n)
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        forest.join(x, y)
-    return [(x, forest.root(x)) for x in range(n) if forest.root(x) != x]
+    size = np.fromiter(map(len, sets), np.int64, n)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    starts = np.cumsum(size) - size
+    mark = np.zeros(int(ids.max()) + 1, np.int64)
+    comp = np.arange(n)
+    if family is not None:
+        number = family[order]
+        for f in np.unique(number[number > 0]):
+            same = np.flatnonzero(number == f)
+            comp[same] = same[0]
+    members = np.bincount(comp, minlength=n)
+    done = np.zeros(n, bool)
+    edges: list[tuple[int, int]] = []
+    pivots: list[np.ndarray] = []
+    reach = (100 - percent) / 100 + 1e-9
+    while len(todo := np.flatnonzero(~done & (comp != members.argmax()))):
+        for x in todo.tolist():
+            if comp[x] == members.argmax():
+                continue
+            done[x] = True
+            i, j = np.searchsorted(size, [-(-percent * size[x] // 100), 100 * size[x] // percent + 1])
+            able = comp[i:j] != comp[x]
+            for far in pivots:
+                able &= np.abs(far[i:j] - far[x]) <= reach
+            if not able.any():
+                continue
+            mark[ids[starts[x] : starts[x] + size[x]]] = 1
+            if len(pivots) < PIVOTS:
+                both = np.add.reduceat(mark[ids], starts)
+                pivots.append(1 - both / (size + size[x] - both))
+                hit = i + np.flatnonzero(able)
+                both = both[hit]
+            else:
+                hit = i + np.flatnonzero(able)
+                k = size[hit]
+                first = np.cumsum(k) - k
+                both = np.add.reduceat(mark[ids[np.repeat(starts[hit] - first, k) + np.arange(k.sum())]], first)
+            mark[ids[starts[x] : starts[x] + size[x]]] = 0
+            hit = hit[100 * both >= percent * (size[hit] + size[x] - both)]
+            if len(hit):
+                others, at = np.unique(comp[hit], return_index=True)
+                edges += [(int(order[x]), int(order[y])) for y in hit[at].tolist()]
+                members[comp[x]] += members[others].sum()
+                members[others] = 0
+                comp[np.isin(comp, others)] = comp[x]
+    return edges
 
 
 def _confirm(percent: int):
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (cluster, rep, tile, shingles) sorted by cluster, tile, rep."""
-        for parts in by_group(batches, [0, 2]):
-            reps = [x for p in parts for x in p.column(1).to_pylist()]
-            sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(3).to_pylist()]
-            yield _edges([(reps[x], reps[y]) for x, y in linked(sets, percent)])
+        """Rows (cluster, tile, family, rep, shingles) sorted by cluster, tile."""
+        out: list[tuple[int, int]] = []
+        for parts in by_group(batches, [0, 1]):
+            reps = [x for p in parts for x in p.column(3).to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(4).to_pylist()]
+            family = np.concatenate([p.column(2).to_numpy() for p in parts])
+            out += [(reps[x], reps[y]) for x, y in linked(sets, percent, family)]
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
 
     return task
 
 
+def _to_pivots(percent: int):
+    def near(a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (cluster, rep, load, shingles, pivots): the family of a set, and the pivots it is linked with."""
+        names: dict[int, tuple[list, list, list]] = {}
+        for b in slices(batches, 3):
+            family, links = [], []
+            for cluster, shingles, given in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+                if cluster not in names:
+                    if len(names) > 100:
+                        names.clear()
+                    rows = [p for p in given.as_py() if p]
+                    sets = [np.frombuffer(p["shingles"], np.uint64) for p in rows]
+                    forest = Forest(len(sets))
+                    for i, j in combinations(range(len(sets)), 2):
+                        if near(sets[i], sets[j]):
+                            forest.join(i, j)
+                    names[cluster] = [p["rep"] for p in rows], sets, [forest.root(i) + 1 for i in range(len(sets))]
+                reps, sets, number = names[cluster]
+                mine = np.frombuffer(shingles, np.uint64)
+                close = [i for i, s in enumerate(sets) if near(mine, s)]
+                family.append(min((number[i] for i in close), default=0))
+                links.append([reps[i] for i in close])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(family, pa.int32()), pa.array(links, pa.list_(pa.int64()))], names=["cluster", "rep", "load", "shingles", "family", "links"])
+
+    return task
+
+
+def _large_tiles(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Clusters that exceed a tile: links with pivots, and the tiles (rows as for _confirm) for what they leave open.
+
+    Every set is compared with up to four members of its cluster. Those linked with one are a family and known to be
+    connected; a cluster that is one family, as the copies of a template are, is done. Else blocks of different families, and blocks of
+    sets linked with no pivot, meet two by two.
+    """
+    h = F.xxhash64("rep")
+    picks = [F.min_by(F.struct("rep", "shingles"), F.when(F.pmod(h, F.lit(4)) == q, h)) for q in range(4)]
+    pivots = table(sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*picks).alias("pivots")), "near-pivots")
+    met = lookup(sets.select("cluster", "rep", "load", "shingles"), pivots, ["cluster"], "n", pivots.agg(F.sum("n")).first()[0] or 0)
+    named = table(met.select("cluster", "rep", "load", "shingles", "pivots").mapInArrow(_to_pivots(percent), "cluster long, rep long, load long, shingles binary, family int, links array<long>"), "near-families")
+    known = named.select(F.col("rep").alias("a"), F.explode("links").alias("b"))
+    parts = named.groupBy("cluster", "family").agg(F.ceil(F.sum("load") * 2 / TILE).alias("parts"))
+    blocks = table(parts.select("cluster", "family", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block")), "near-blocks")
+    other = blocks.select("cluster", F.col("family").alias("f"), F.col("block").alias("k"))
+    meet = (F.col("family") < F.col("f")) | ((F.col("family") == 0) & (F.col("f") == 0) & (F.col("block") <= F.col("k")))
+    pairs = blocks.join(other, "cluster").filter(meet).withColumn("tile", F.xxhash64("family", "block", "f", "k"))
+    ends = pairs.select("cluster", "family", "block", "parts", "tile").unionAll(pairs.join(blocks.select("cluster", F.col("family").alias("f"), F.col("block").alias("k"), F.col("parts").alias("q")), ["cluster", "f", "k"]).select("cluster", F.col("f"), F.col("k"), F.col("q"), "tile")).distinct()
+    rows = named.join(parts, ["cluster", "family"]).withColumn("block", F.pmod(h, F.col("parts")))
+    return known, rows.join(ends.drop("parts"), ["cluster", "family", "block"]).select("cluster", "tile", "family", "rep", "shingles")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Group documents linked by 100 * |A and B| >= percent * |A or B| on five-word shingles.
 
@@ -285,7 +389,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     n_chunks = chunk_count(percent)
     spark = docs.sparkSession
-    small_batches(spark, 250)
+    small_batches(spark)
     number = F.coalesce("doc_id", F.lit(-(2**63)))
     docs = documents(docs).withColumn("doc_id", number)
     signed = table(docs.select("doc_id", "text").mapInArrow(_sign(n_chunks), _signed(n_chunks)), "near-signed")
@@ -294,27 +398,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), *(F.first(c).alias(c) for c in chunks), F.first("low").alias("low"), F.first("n_shingles").alias("n_shingles"))
     reps = table(classes, "near-classes")
 
+    # Patterns are counted and joined without signatures, which only the rows of shared patterns then get.
     entries = keys(reps, n_chunks)
     buckets = table(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1"), "near-buckets")
     total = buckets.agg(F.sum("n")).first()[0] or 0
-    met = lookup(entries, buckets, ["key"], "n", total)
-    small = met.filter(F.col("n") <= BUCKET).select("key", "rep", "low").repartition("key").sortWithinPartitions("key", "rep")
+    met = table(lookup(entries, buckets, ["key"], "n", total, hint="merge"), "near-met")
+    small = met.filter(F.col("n") <= BUCKET).select("key", "rep").join(reps.select("rep", "low").hint("merge"), "rep").select("key", "rep", "low").repartition("key").sortWithinPartitions("key", "rep")
     large = met.filter((F.col("n") > BUCKET) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     clusters = table(components(small.mapInArrow(_bucket_edges(least_agreeing(percent)), EDGE).unionAll(large), "near-cluster-edges"), "near-clusters")
 
-    # Members of a cluster in order of size, cut into blocks of TILE / 2 shingles; all pairs of
-    # blocks of like size make the tiles. One block, the usual case, is one tile.
+    # Members of a cluster with their full sets; a cluster of at most TILE is one tile.
     nodes = clusters.unionAll(clusters.select(F.col("least").alias("node"), "least").distinct())
     members = nodes.join(reps.select(F.col("rep").alias("node"), "n_shingles"), "node").select(F.col("least").alias("cluster"), F.col("node").alias("rep"), "n_shingles")
-    tiles = table(_tiles(members, percent), "near-tiles")
-    texts = tiles.select("cluster", "rep", "tile").join(docs.select(F.col("doc_id").alias("rep"), "text", F.col("row_key")).dropDuplicates(["rep", "row_key"]), "rep")
-    sets = texts.select("cluster", "rep", "text", "tile").mapInArrow(_set_rows, "cluster long, rep long, tile long, shingles binary")
-    checked = sets.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "rep").mapInArrow(_confirm(percent), EDGE)
-    edges = table(checked, "near-links")
+    loads = members.groupBy("cluster").agg(F.sum(F.col("n_shingles") + DOCUMENT).alias("load"), F.count(F.lit(1)).alias("n"))
+    sized = lookup(members, loads, ["cluster"], "n", members.count())
+    by_id = table(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).filter("rows > 1"), "near-ids")
+    wanted = sized.select("cluster", "rep", (F.col("load") > TILE).alias("large")).join(by_id.select(F.col("doc_id").alias("rep"), "rows"), "rep", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
+    wanted = table(wanted, "near-wanted")
+    again = by_id.limit(1).count() > 0
+    texts = lookup(docs.select(F.col("doc_id").alias("rep"), "text", "row_key"), wanted, ["rep"], "rows", signed.count(), hint="merge")
+    if again:
+        texts = texts.dropDuplicates(["cluster", "rep", "row_key"])
+    sets = table(texts.select("cluster", "rep", "large", "text").mapInArrow(_set_rows, SETS), "near-sets")
+    tiles = sets.filter("not large").select("cluster", F.lit(0).cast("long").alias("tile"), F.lit(0).alias("family"), "rep", "shingles")
+    edges = []
+    if wanted.filter("large").limit(1).count():
+        known, open_tiles = _large_tiles(sets.filter("large"), percent)
+        tiles = tiles.unionAll(open_tiles)
+        edges.append(known)
+    checked = tiles.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile").mapInArrow(_confirm(percent), EDGE)
+    edges = table(reduce(DataFrame.unionAll, edges, checked), "near-links")
 
     # Rows that share a doc_id but not a set tie their classes together as well.
-    twins = signed.filter("n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).filter("x <> y").select("doc_id")
-    tied = signed.filter("n_shingles > 0").join(twins, "doc_id").select("doc_id", "f1", "f2").join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("all"))
+    twins = by_id.filter("x <> y").select("doc_id")
+    tied = full.join(twins, "doc_id").select("doc_id", "f1", "f2").join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("all"))
     edges = edges.unionAll(tied.select(F.explode("all").alias("a"), "b"))
     linked_reps = table(components(edges, "near-link-edges"), "near-components")
     owners = reps.select("f1", "f2", "rep", "size").join(linked_reps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("least", "rep").alias("component_id"))
@@ -326,24 +443,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select(null_low("doc_id").alias("doc_id"), "n_shingles", null_low("component_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """cluster, rep, tile: each pair of members that can be linked meets in some tile."""
-    sums = members.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n"))
-    whole = sums.filter(F.col("weight") <= TILE)
-    one = members.join(whole.select("cluster"), "cluster").select("cluster", "rep", F.lit(0).cast("long").alias("tile"))
-    # Large clusters: the blocks come from ranges of size and a hash, so that no task sees a whole cluster.
-    grown = sums.filter(F.col("weight") > TILE).withColumn("parts", F.ceil(F.col("weight") * 2 / TILE))
-    band = F.floor(F.log(100 / percent, F.col("n_shingles")))
-    m = members.join(grown.select("cluster", "parts"), "cluster").withColumn("band", band.cast("long"))
-    block = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    # A partner's size is within one band: a document meets its own band and the one below.
-    m = m.withColumn("block", block).select("cluster", "rep", "parts", "block", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    tile = (F.col("band") * F.col("parts") + low) * F.col("parts") + high + 1
-    return one.unionAll(m.select("cluster", "rep", tile.alias("tile")))
-
-
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs``, all their columns, whose doc_id is their group's smallest."""
     keep = near_duplicates(docs, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_lg_id")).distinct()
