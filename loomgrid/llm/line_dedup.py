@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import documents, lookup, small_batches, table, with_texts
+from loomgrid.llm.common import documents, lookup, slices, small_batches, table, with_texts
 
 #: Fixed value: the white space stripped from both ends of a line.
 SPACE = " \t\n\x0b\x0c\r"
@@ -63,7 +63,7 @@ def _bits(keys: np.ndarray, n_bits: int) -> np.ndarray:
 def _seen(n_bits: int, keys_of: Callable) -> Callable:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[np.ndarray] = []
-        for b in batches:
+        for b in slices(batches, 0):
             keys = keys_of(b.column(0))
             counts.append(np.sort(_bits(keys, n_bits), axis=1).ravel())
         if not counts:
@@ -121,7 +121,7 @@ def twice_filter(docs: DataFrame, n_bits: int, keys_of: Callable) -> np.ndarray:
 def _suspects(bits, n_bits: int, min_points: int) -> Callable:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(bits.value, np.uint8)
-        for b in batches:
+        for b in slices(batches, 1):
             parent, keys = distinct_keys(b.column(1), min_points)
             hit = is_twice(keys, twice, n_bits)
             parent, keys = parent[hit], keys[hit]
@@ -132,7 +132,7 @@ def _suspects(bits, n_bits: int, min_points: int) -> Callable:
 
 def _drop(min_points: int) -> Callable:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             lines, parent, long, keys = line_keys(b.column(1), min_points)
             dropped = [{(x["k1"], x["k2"]) for x in d} if d else () for d in b.column(3).to_pylist()]
             gone = np.zeros(len(lines), bool)

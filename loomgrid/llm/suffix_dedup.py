@@ -2,19 +2,23 @@
 
 1. Every LENGTH-byte window is owned by the least 20-byte gram in it (the leftmost of equals), so
    equal windows have equal owners at equal offsets. A "twice" filter drops owners met once.
-2. The windows that one occurrence of a gram owns lie in one span. Equal spans are folded by hash: what two occurrences
-   share is repeated.
+2. The windows that one occurrence of a gram owns lie in one span. Equal spans are folded by a 64-bit hash before any span is
+   compared, so a copy that a third of all rows share is handled once.
 3. Where a gram has different spans, their bytes meet in one task. From the gram to the right, and
-   from it to the left, each span is a string of BLOCK-byte blocks; the suffix array of
-   all these strings (suffix_array.py) puts each next to those it agrees with longest, and the blocks in common bound
-   the windows that can be repeated. Those are confirmed byte for byte by their hashes.
+   from it to the left, each span is a string of BLOCK-byte blocks. The suffix array of
+   all these strings (suffix_array.py) puts them in the order of their bytes; the common prefixes of
+   neighbours, counted byte by byte, tell which spans agree on so many bytes to the right and which on so many to the left. A window that reaches a
+   bytes to the left of its gram is repeated if another span is with it in both classes. Nothing else decides.
+4. A gram with very many spans is dealt out by more of their bytes: the windows that reach far to the left share at
+   least those bytes, the others those to the right; the halves are halved again as long as needed.
 
 A suffix array over single bytes costs about 6 microseconds a byte in Python; over blocks it is
-read for every span and costs a twentieth of that.
+read for every span and costs a twentieth of that, and orders the same bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -22,18 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import documents, lookup, small_batches, table, with_texts
+from loomgrid.llm.common import documents, lookup, slices, small_batches, table, with_texts
 from loomgrid.llm.line_dedup import filter_bits, is_twice, twice_filter
 from loomgrid.llm.neardup import by_group
 from loomgrid.llm.suffix_array import suffix_array
 from loomgrid.llm.words import FACTOR, INVERSE, mix, powers
 
 LENGTH, GRAM, BLOCK = 200, 20, 20
-#: Spans of a gram that one task compares; beyond it their window hashes are grouped by a shuffle.
-TOGETHER = 30_000
+#: Spans with one key that one task compares; beyond it the key takes in more bytes.
+TOGETHER = 10_000
+#: The most bytes of a window that lie left of its gram.
+REACH = LENGTH - GRAM
 #: Spans resolved at once within a task.
 CHUNK = 2000
 PLACE_BITS = np.uint64(28)
+#: Bytes of a text whose owners are found at once; longer texts are taken in pieces.
+PIECE = 2 << 20
 
 
 class Hashed:
@@ -48,8 +56,29 @@ class Hashed:
         return mix((self.total[end] - self.total[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
-def owners(raws: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Owned runs of windows: text number, gram hash, span hash, first and last window, and the gram's place (in the text)."""
+def owners(raws: list[bytes], piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """Owned runs of windows: text number, gram hash, span hash, first and last window, and the gram's place (in the text).
+
+    A long text is cut into pieces that share no window; a run that such a cut parts is two.
+    """
+    pieces = [(t, i, raw[i : i + piece + LENGTH - 1]) for t, raw in enumerate(raws) for i in range(0, max(len(raw) - LENGTH + 1, 1), piece)]
+    found, held, size = [], [], 0
+    for x in [*pieces, None]:
+        if held and (x is None or size + len(x[2]) > 2 * piece):
+            t, gram, span, first, last, place = _owners([h[2] for h in held])
+            text, begin = (np.array([h[k] for h in held], np.int64)[t] for k in (0, 1))
+            found.append((text, gram, span, first + begin, last + begin, place + begin))
+            held, size = [], 0
+        if x:
+            held.append(x)
+            size += len(x[2])
+    if not found:
+        return _owners([])
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _owners(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """As ``owners``, for texts that fit PLACE_BITS together."""
     lengths = np.fromiter(map(len, raws), np.int64, len(raws))
     begins = np.cumsum(lengths) - lengths
     data = np.frombuffer(b"".join(raws), np.uint8)
@@ -57,8 +86,6 @@ def owners(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     wide = LENGTH - GRAM + 1
     if n < wide:
         return tuple(np.zeros(0, k) for k in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    if len(data) >> int(PLACE_BITS):
-        raise ValueError("a batch of texts must stay below 256 MB")
     hashed = Hashed(data)
     at = np.arange(n)
     gram = hashed.of(at, at + GRAM)
@@ -101,7 +128,7 @@ RUN = "doc_id long, row_key long, k long, fold long, first int, last int, place
 def _runs(bits, n_bits: int) -> Callable:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(bits.value, np.uint8)
-        for b in batches:
+        for b in slices(batches, 1):
             t, gram, span, first, last, place = owners(pc_raws(b.column(1)))
             hit = is_twice(np.column_stack([gram, mix(gram)]).view(np.int64), twice, n_bits)
             t = pa.array(t[hit])
@@ -113,75 +140,123 @@ def _runs(bits, n_bits: int) -> Callable:
     return task
 
 
-SPAN = "k long, fold long, n long, doc_id long, row_key long, first int, place int, span binary"
+SPAN = "k long, fold long, n long, doc_id long, row_key long, first int, place int, span binary, low int, high int"
+NAMES = ["k", "fold", "n", "doc_id", "row_key", "first", "place", "span", "low", "high"]
 
 
 def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, row_key, text, open): the bytes of each open span."""
-    for b in batches:
+    """Rows (doc_id, row_key, text, open): the bytes of each open span, and the reach of the windows asked for (all)."""
+    kinds = [*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+    for b in slices(batches, 2):
         rows = []
         for doc_id, row_key, raw, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), pc_raws(b.column(2)), b.column(3).to_pylist(), strict=True):
-            rows += [(s["k"], s["fold"], s["n"], doc_id, row_key, s["first"], s["place"], raw[s["first"] : s["last"] + LENGTH]) for s in spans]
-        kinds = [*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary()]
-        columns = zip(*rows, strict=True) if rows else [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["k", "fold", "n", "doc_id", "row_key", "first", "place", "span"])
+            rows += [(s["k"], s["fold"], s["n"], doc_id, row_key, s["first"], s["place"], raw[s["first"] : s["last"] + LENGTH], 0, REACH) for s in spans]
+        columns = zip(*rows, strict=True) if rows else [()] * 10
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
 
 
-def _shared_blocks(group: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashed: Hashed, sign: int) -> np.ndarray:
-    """How many whole blocks each span shares, from its gram on, with the one of its group that agrees longest.
-
-    starts: the first byte's place right of the gram's start (sign 1), or the end of the part to its left (sign -1);
-    sizes: bytes there are.
+def _halves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row of SPAN twice, with half the reach; the key takes in all the bytes that windows of that reach share."""
+    for b in batches:
+        out: dict[str, list] = {name: [] for name in NAMES}
+        for row in b.to_pylist():
+            place, span = row["place"] - row["first"], row["span"]
+            middle = (row["low"] + row["high"]) // 2
+            for low, high in ((row["low"], middle), (middle + 1, row["high"])):
+                i, j = place - low, place + LENGTH - high
+                if low <= high and i >= 0 and j <= len(span):
+                    digest = hashlib.blake2b(span[i:j], digest_size=8, key=f"{row['k']},{low},{high}".encode()).digest()
+                    for name, value in (row | {"k": int.from_bytes(digest, "little", signed=True), "low": low, "high": high}).items():
+                        out[name].append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in b.schema], schema=b.schema)
+
+
+def _ordered(group: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the spans by group and by their bytes from the gram on, and the bytes each has in common with the one before it.
+
+    starts: the gram's first byte (sign 1: to the right), or the byte after the part to its left (sign -1: read to the left);
+    sizes: bytes there are. The first of a group has -1 in common. The order is read off the suffix array of
+    the strings (group, blocks, end); blocks are ranked by their bytes, a shorter last block first.
     """
-    count = sizes // BLOCK
-    width = int(count.max(initial=0))
     n = len(group)
-    string = np.zeros((n, width + 2), np.uint64)  # the group, its blocks, and an end below all symbols
-    string[:, 0] = mix(group.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-    for d in range(width):
-        some = np.flatnonzero(count > d)
-        a = starts[some] + d * BLOCK if sign > 0 else starts[some] - (d + 1) * BLOCK
-        string[some, d + 1] = hashed.of(a, a + BLOCK) | np.uint64(1)
-    used = np.arange(width + 2)[None, :] < (count + 2)[:, None]
-    flat = string[used]
-    heads = np.flatnonzero(np.r_[True, used[:, :].cumsum(axis=1)[used][1:] == 1]) if n else np.zeros(0, np.int64)
-    order = suffix_array(flat)
-    rank = np.full(len(flat), -1)
-    rank[heads] = np.arange(n)
-    order = rank[order[rank[order] >= 0]]  # spans in order of their strings
+    count = -(-sizes // BLOCK)
+    owner = np.repeat(np.arange(n), count)
+    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    length = np.minimum(sizes[owner] - number * BLOCK, BLOCK)
+    reach = number[:, None] * BLOCK + np.arange(BLOCK)
+    at = starts[owner, None] + reach if sign > 0 else starts[owner, None] - 1 - reach
+    used = np.arange(BLOCK) < length[:, None]
+    blocks = np.where(used, data[np.where(used, at, 0)], 0).astype(np.uint8)
+    whole = np.zeros((len(owner), 24), np.uint8)
+    whole[:, :BLOCK], whole[:, BLOCK] = blocks, length
+    words = whole.view(">u8").astype(np.uint64)
+    sort = np.lexsort(words.T[::-1])
+    new = np.ones(len(owner), bool)
+    new[1:] = (words[sort[1:]] != words[sort[:-1]]).any(axis=1)
+    rank = np.empty(len(owner), np.int64)
+    rank[sort] = np.cumsum(new)
+    groups, which = np.unique(group, return_inverse=True)
+    # The group comes first, above all blocks, so that the spans' strings are one run of the array for each group.
+    first = np.cumsum(count + 2) - (count + 2)
+    flat = np.zeros(int((count + 2).sum()), np.int64)
+    flat[first] = len(owner) + 1 + which
+    flat[first[owner] + 1 + number] = rank
+    string = np.full(len(flat), -1)
+    string[first] = np.arange(n)
+    order = string[suffix_array(flat)]
+    order = order[order >= 0]
     a, b = order[:-1], order[1:]
-    same = (string[a, 1:-1] == string[b, 1:-1]) & (string[a, 1:-1] > 0)
-    common = np.where(group[a] == group[b], np.minimum.accumulate(same, axis=1).sum(axis=1), -1)
-    most = np.full(n, -1)
-    np.maximum.at(most, a, common)
-    np.maximum.at(most, b, common)
-    return most
-
-
-def repeated_windows(group: np.ndarray, n: np.ndarray, place: np.ndarray, spans: list[bytes]) -> list[np.ndarray]:
+    width = int(count.max(initial=0)) + 1
+    table = np.zeros((n, width), np.int64)
+    table[owner, number] = rank
+    equal = np.minimum.accumulate((table[a] == table[b]) & (table[a] > 0), axis=1).sum(axis=1)
+    begin = np.cumsum(count) - count
+    more = (equal < count[a]) & (equal < count[b])  # the blocks that differ, byte by byte
+    x, y = begin[a[more]] + equal[more], begin[b[more]] + equal[more]
+    same = np.minimum.accumulate(blocks[x] == blocks[y], axis=1).sum(axis=1)
+    common = np.minimum(equal * BLOCK, np.minimum(sizes[a], sizes[b]))
+    common[more] += np.minimum(same, np.minimum(length[x], length[y]))
+    common[group[a] != group[b]] = -1
+    return order, np.r_[-1, common][:n]
+
+
+def repeated_windows(group: np.ndarray, n: np.ndarray, place: np.ndarray, spans: list[bytes], low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[np.ndarray]:
     """For each span, the windows (numbers from its first) that another span of its group has as well.
 
-    place: of the gram in the span. Spans with n > 1 only serve the others.
+    place: of the gram in the span. Spans with n > 1 only serve the others. low, high: the least and most bytes left of the
+    gram that windows asked for have (the same for a group).
     """
     sizes = np.fromiter(map(len, spans), np.int64, len(spans))
     begins = np.cumsum(sizes) - sizes
-    hashed = Hashed(np.frombuffer(b"".join(spans), np.uint8))
-    gram = begins + place
-    right = _shared_blocks(group, gram, sizes - place, hashed, 1)
-    left = _shared_blocks(group, gram, place, hashed, -1)
-    windows = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(spans)), windows)
-    number = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    before = place[owner] - number  # bytes of the window left of the gram
-    # A window's whole blocks on both sides must be shared with some span.
-    able = (before // BLOCK <= left[owner]) & ((LENGTH - before) // BLOCK <= right[owner])
-    owner, number, before = owner[able], number[able], before[able]
-    at = begins[owner] + number
-    h = mix(hashed.of(at, at + LENGTH) + mix(group[owner].astype(np.uint64)) + before.astype(np.uint64))
-    _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-    hit = (count[back] > 1) & (n[owner] == 1)
-    owner, number = owner[hit], number[hit]
-    cuts = np.searchsorted(owner, np.arange(len(spans) + 1))
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    m = len(spans)
+    low, high = np.zeros(m, np.int64) if low is None else low, np.full(m, REACH) if high is None else high
+    sides = []
+    for starts, size, sign in ((begins + place, sizes - place, 1), (begins + place, place, -1)):
+        order, common = _ordered(group, data, starts, size, sign)
+        most = np.empty(m, np.int64)
+        most[order] = np.maximum(common, np.r_[common[1:], -1])
+        sides.append((order, common, most))
+    (r_order, r_common, r_most), (l_order, l_common, l_most) = sides
+    numbers = np.arange(m)
+    owner, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    right, left = np.empty(m, np.int64), np.empty(m, np.int64)
+    for reach in range(REACH + 1):
+        able = (r_most >= LENGTH - reach) & (l_most >= reach) & (reach <= place) & (place - reach + LENGTH <= sizes) & (low <= reach) & (reach <= high)
+        if able.sum() < 2:
+            continue
+        # Classes: runs of the order within which that many bytes are in common.
+        right[r_order] = np.maximum.accumulate(np.where(r_common < LENGTH - reach, numbers, 0))
+        left[l_order] = np.maximum.accumulate(np.where(l_common < reach, numbers, 0))
+        who = np.flatnonzero(able)
+        _, back, count = np.unique(right[who] * m + left[who], return_inverse=True, return_counts=True)
+        hit = who[(count[back] > 1) & (n[who] == 1)]
+        owner.append(hit)
+        number.append(place[hit] - reach)
+    owner, number = np.concatenate(owner), np.concatenate(number)
+    sort = np.lexsort((number, owner))
+    owner, number = owner[sort], number[sort]
+    cuts = np.searchsorted(owner, np.arange(m + 1))
     return [number[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -209,8 +284,8 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _resolved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     t = pa.Table.from_batches(parts)
-    k, n, first, place = (t.column(c).to_numpy() for c in ("k", "n", "first", "place"))
-    found = repeated_windows(k, n, (place - first).astype(np.int64), t.column("span").to_pylist())
+    k, n, first, place, low, high = (t.column(c).to_numpy() for c in ("k", "n", "first", "place", "low", "high"))
+    found = repeated_windows(k, n, (place - first).astype(np.int64), t.column("span").to_pylist(), low, high)
     doc_id, row_key = t.column("doc_id").to_pylist(), t.column("row_key").to_pylist()
     out = []
     for x, windows in enumerate(found):
@@ -220,22 +295,28 @@ def _resolved(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return _ranges(out)
 
 
-def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each window of the spans of very common grams: k, its hash, n, and where it is."""
-    for b in batches:
-        for x in range(b.num_rows):
-            k, _, n, doc_id, row_key, first, place, span = (c[x].as_py() for c in b.columns)
-            number = np.arange(len(span) - LENGTH + 1)
-            h = mix(Hashed(np.frombuffer(span, np.uint8)).of(number, number + LENGTH) + (place - first - number).astype(np.uint64))
-            size = len(number)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k] * size), pa.array(h.view(np.int64)), pa.array([n] * size), pa.array([doc_id] * size, pa.int64()), pa.array([row_key] * size), pa.array((first + number).astype(np.int32))],
-                names=["k", "h", "n", "doc_id", "row_key", "first"],
-            )
+def _dealt(spans: DataFrame) -> list[DataFrame]:
+    """Ranges of repeated windows of spans with very common keys: halved in reach until a task can compare those with one key."""
+    out, width = [], REACH + 1
+    while width > 1:
+        width = -(-width // 2)
+        spans = table(spans.mapInArrow(_halves, SPAN), "suffix-halves")
+        met = spans.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        spans = lookup(spans, met, ["k"], "m", spans.count())
+        # At a reach of one byte a key stands for a whole window, which all its spans have.
+        last = spans.filter(F.col("m") > TOGETHER)
+        few = spans.filter(F.col("m") <= TOGETHER).select(*NAMES).repartition("k").sortWithinPartitions("k", "fold")
+        out.append(table(few.mapInArrow(_resolve, RANGE), "suffix-ranges"))
+        spans = table(last.select(*NAMES), "suffix-common")
+        if not spans.limit(1).count():
+            return out
+    at = F.col("place") - F.col("low")
+    out.append(spans.filter("n = 1").select("doc_id", "row_key", at.alias("first"), at.alias("last")))
+    return out
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 1):
         out = []
         for raw, ranges in zip(pc_raws(b.column(1)), b.column(2).to_pylist(), strict=True):
             left, at, runs = [], 0, 0
@@ -286,11 +367,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     near = texts.select("doc_id", "row_key", "text", close).mapInArrow(_spans, SPAN).repartition("k").sortWithinPartitions("k", "fold")
     parts = [table(near.mapInArrow(_resolve, RANGE), "suffix-ranges")]
     if grams.filter(F.col("folds") > TOGETHER).limit(1).count():
-        far = texts.select("doc_id", "row_key", "text", common).mapInArrow(_spans, SPAN).mapInArrow(_window_rows, "k long, h long, n long, doc_id long, row_key long, first int")
-        far = table(far, "suffix-windows")
-        again = far.groupBy("k", "h").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
-        found = lookup(far.filter("n = 1"), again, ["k", "h"], "met", far.count())
-        parts.append(found.select("doc_id", "row_key", "first", F.col("first").alias("last")))
+        parts += _dealt(table(texts.select("doc_id", "row_key", "text", common).filter(F.size("open") > 0).mapInArrow(_spans, SPAN), "suffix-common"))
     ranges = whole
     for p in parts:
         ranges = ranges.unionAll(p)
