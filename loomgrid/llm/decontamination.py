@@ -2,10 +2,10 @@
 
 Every task turns its documents into shards of about SHARD words and builds a
 suffix array over each: word ranks, three of them packed into one sort key, then prefix doubling of the
-suffixes that still tie, until DEPTH words are ordered. All suffixes of
-the benchmark texts are binary-searched in every shard at once, word by word; an
-interval that stays open for a whole window gives its occurrences, and the
-last depth at which it was open the longest verbatim match and a place of it.
+suffixes that still tie, until none do. All suffixes of
+the benchmark texts are binary-searched in every shard at once, word by word to their ends; an
+interval that stays open for a whole window gives its occurrences, and the depths at which a suffix of a document lies in an open interval
+give the document's longest verbatim match and its place. Words are equal when their 64-bit hashes are.
 The test suffixes are broadcast in blocks of at most BLOCK words, one pass over the training data for each block.
 """
 
@@ -23,7 +23,6 @@ from loomgrid.llm.common import documents, small_batches, table
 from loomgrid.llm.words import ALNUM, Words
 
 WINDOW = 13
-DEPTH = 24
 SHARD = 600_000
 BLOCK = 1_000_000
 #: Ranks take 21 bits, so that three of them fit a sort key; SHARD stays far below.
@@ -31,7 +30,7 @@ BITS = 21
 
 
 class Suffixes:
-    """Suffix array of a sequence of word ranks (0: a break that nothing matches), ordered by DEPTH words."""
+    """Suffix array of a sequence of word ranks; breaks between texts differ from each other and from all words."""
 
     def __init__(self, hashes: np.ndarray, text: np.ndarray) -> None:
         """hashes, text: word hashes of a shard and the number of the text each word is in."""
@@ -39,10 +38,11 @@ class Suffixes:
         self.words, ranks = np.unique(hashes, return_inverse=True)
         breaks = np.flatnonzero(text[1:] != text[:-1]) + 1 if n else np.zeros(0, np.int64)
         where = np.arange(n) + np.searchsorted(breaks, np.arange(n), side="right")
-        self.n = n + len(breaks)
-        self.ranks = np.zeros(self.n + DEPTH, np.int64)  # breaks and the end are 0
-        self.ranks[where] = ranks + 1
-        self.word_at = np.zeros(self.n, np.int64)  # number of the word at a position
+        self.n, self.least = n + len(breaks), len(breaks) + 1
+        self.ranks = np.zeros(self.n + 3, np.int64)  # the end is 0, then breaks, then words
+        self.ranks[breaks + np.arange(len(breaks))] = np.arange(1, self.least)
+        self.ranks[where] = ranks + self.least
+        self.word_at = np.full(self.n, -1)  # number of the word at a position
         self.word_at[where] = np.arange(n)
         r = self.ranks
         key = (r[: self.n] << (2 * BITS)) | (r[1 : self.n + 1] << BITS) | r[2 : self.n + 2]
@@ -54,10 +54,10 @@ class Suffixes:
         new = np.ones(n, bool)
         new[1:] = key[1:] != key[:-1]
         head = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a suffix's rank: where its group starts
-        rank = np.full(n + DEPTH, -1, np.int64)
+        rank = np.full(n + 1, -1, np.int64)
         rank[order] = head
         depth = 3
-        while depth < DEPTH:
+        while True:
             tied = np.ones(n, bool)
             tied[:-1] = head[1:] == head[:-1]
             tied[1:] |= tied[:-1]
@@ -81,39 +81,48 @@ class Suffixes:
     def find(self, tests: np.ndarray, starts: np.ndarray, lengths: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, ...]:
         """Search the suffixes tests[starts[i] : starts[i] + lengths[i]] (word hashes), all at once.
 
-        Returns lo, hi of the suffixes that match ``want[i]`` words, and the longest match (up to DEPTH words)
-        with one position of it.
+        Returns lo, hi of the suffixes that match ``want[i]`` words, and for each word of the shard how many words from it on
+        are verbatim those of some test.
         """
         at = np.searchsorted(self.words, tests)
         known = at < len(self.words)
         known[known] = self.words[at[known]] == tests[known]
-        ranks = np.where(known, at + 1, -1)
+        ranks = np.where(known, at + self.least, -1)
         m = len(starts)
         lo, hi = np.zeros(m, np.int64), np.full(m, self.n)
         got_lo, got_hi = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        longest, place = np.zeros(m, np.int64), np.full(m, -1)
-        live = np.arange(m)
-        for d in range(DEPTH):
-            live = live[lengths[live] > d]
-            if not len(live):
-                break
+        reach = np.zeros(self.n, np.int64)
+        live, d = np.arange(m), 0
+        while len(live := live[lengths[live] > d]):
             w = ranks[starts[live] + d]
             a = self._bound(lo[live], hi[live], d, w)
             b = self._bound(a, hi[live], d, w + 1)
             b = np.where(w < 0, a, b)
             lo[live], hi[live] = a, b
-            live = live[b > a]
-            longest[live], place[live] = d + 1, self.order[lo[live]]
-            full = live[want[live] == d + 1]
+            live, d = live[b > a], d + 1
+            self._mark(reach, lo[live], hi[live], d)
+            full = live[want[live] == d]
             got_lo[full], got_hi[full] = lo[full], hi[full]
-        return got_lo, got_hi, longest, place
+        by_word = np.zeros(max(self.n - self.least + 1, 0), np.int64)
+        place = self.word_at[self.order]
+        by_word[place[place >= 0]] = reach[place >= 0]
+        return got_lo, got_hi, by_word
+
+    def _mark(self, reach: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: int) -> None:
+        """Set ``reach`` to d within the intervals, which are many and wide only while d is small."""
+        width = hi - lo
+        if width.sum() > self.n:
+            opened = np.bincount(lo, minlength=self.n + 1) - np.bincount(hi, minlength=self.n + 1)
+            reach[np.cumsum(opened)[:-1] > 0] = d
+        elif len(lo):
+            reach[np.repeat(lo - (np.cumsum(width) - width), width) + np.arange(width.sum())] = d
 
     def _bound(self, lo: np.ndarray, hi: np.ndarray, d: int, w: np.ndarray) -> np.ndarray:
         """First index in [lo, hi) whose suffix has a word >= w at depth d."""
         lo, hi = lo.copy(), hi.copy()
         while len(todo := np.flatnonzero(lo < hi)):
             mid = (lo[todo] + hi[todo]) // 2
-            less = self.ranks[self.order[mid] + d] < w[todo]
+            less = self.ranks[np.minimum(self.order[mid] + d, self.n)] < w[todo]
             lo[todo] = np.where(less, mid + 1, lo[todo])
             hi[todo] = np.where(less, hi[todo], mid)
         return lo
@@ -131,8 +140,7 @@ class Tests:
         first = np.r_[True, words.text[1:] != words.text[:-1]] if len(left) else np.zeros(0, bool)
         # A window starts here if 13 words are left, or at the first word of a shorter item.
         self.want = np.where(left >= window, window, np.where(first & (counts < window), counts, -1))
-        if window > DEPTH:
-            raise ValueError(f"a window has at most {DEPTH} words")
+        self.longest = int(max(words.counts.max(initial=0), window))
 
 
 def _raw(text: str | None) -> bytes:
@@ -156,15 +164,16 @@ def _words(batches: list[pa.RecordBatch]) -> Words:
     return Words([x.lower() for b in batches for x in b.column(1).cast(pa.binary()).to_pylist()], ALNUM)
 
 
-def _pieces(words: Words, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of words of at most ``most`` words that overlap by DEPTH, so that no match is cut."""
+def _pieces(words: Words, most: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about ``most`` words that overlap by the longest test, so that no match is cut."""
+    most = max(most, 2 * overlap)
     n, at = len(words.hashes), 0
     while at < n:
         end = min(n, at + most)
         yield at, end
         if end == n:
             return
-        at = end - DEPTH
+        at = end - overlap
 
 
 def _hits(tests, most: int) -> Callable:
@@ -174,24 +183,17 @@ def _hits(tests, most: int) -> Callable:
             n_texts = len(words.counts)
             hit = np.zeros(len(words.hashes) + 1, np.int64)
             pairs: list[np.ndarray] = []
-            best = np.zeros((n_texts, 3), np.int64)  # longest match, where in the text, which item
-            for i, j in _pieces(words, most):
+            reach = np.zeros(len(words.hashes), np.int64)
+            for i, j in _pieces(words, most, t.longest):
                 s = Suffixes(words.hashes[i:j], words.text[i:j])
-                lo, hi, longest, place = s.find(t.hashes, t.starts, t.lengths, t.want)
+                lo, hi, matched = s.find(t.hashes, t.starts, t.lengths, t.want)
+                np.maximum(reach[i:j], matched, out=reach[i:j])
                 for x in np.flatnonzero(hi > lo).tolist():
                     at = s.word_at[s.order[lo[x] : hi[x]]] + i
                     np.add.at(hit, at, 1)
                     np.add.at(hit, at + t.want[x], -1)
                     pairs.append(np.unique(words.text[at]) * len(t.ids) + t.item[x])
-                found = np.flatnonzero(longest > 0)
-                at = s.word_at[place[found]] + i
-                owner = words.text[at]
-                order = np.lexsort((t.item[found], -longest[found], owner))
-                lead = order[np.r_[True, owner[order][1:] != owner[order][:-1]]] if len(order) else order
-                more = longest[found][lead] > best[owner[lead], 0]
-                lead = lead[more]
-                first = np.cumsum(words.counts) - words.counts
-                best[owner[lead]] = np.column_stack([longest[found][lead], at[lead] - first[owner[lead]], t.item[found][lead]])
+            longest, place = _longest(reach, words)
             covered = np.cumsum(hit[:-1]) > 0
             n_hit = np.bincount(words.text[covered], minlength=n_texts)
             both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
@@ -201,13 +203,26 @@ def _hits(tests, most: int) -> Callable:
             spans = _spans(covered, words)
             columns = [pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in (0, 2)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(best[:, 0]), pa.array(best[:, 1])],
+                [*columns, pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(longest), pa.array(place)],
                 names=["doc_id", "row_key", "n_words", "n_hit", "items", "spans", "longest", "longest_at"],
             )
 
     return task
 
 
+def _longest(reach: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Longest match of each text and the first word it starts at; 0 where there is none."""
+    longest, place = np.zeros(len(words.counts), np.int64), np.zeros(len(words.counts), np.int64)
+    some = np.flatnonzero(words.counts)
+    first = (np.cumsum(words.counts) - words.counts)[some]
+    if len(some):
+        longest[some] = np.maximum.reduceat(reach, first)
+        at = np.flatnonzero(reach == longest[words.text])
+        text, lead = np.unique(words.text[at], return_index=True)
+        place[text] = at[lead] - first
+    return longest, np.where(longest > 0, place, 0)
+
+
 def _spans(covered: np.ndarray, words: Words) -> list[list[list[int]]]:
     """Runs of hit words of each text, as first word and word after the last."""
     out: list[list[list[int]]] = [[] for _ in words.counts]
@@ -245,8 +260,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Words are runs of digits, letters A-Z (as a-z) and non-ASCII characters. Returns per row of ``docs``:
     doc_id, row_key (hash of the text), n_words, n_hit (words inside an occurrence of a window), items
-    (item_ids with occurring windows, sorted as strings), spans (runs of hit words), longest and longest_at (a longest verbatim match that the
-    searches met in this document, up to DEPTH words, and its first word; 0 without one). A window is ``window`` consecutive
+    (item_ids with occurring windows, sorted as strings), spans (runs of hit words), longest and longest_at (words of the longest verbatim
+    match with any item, and where it first starts; 0 without one). A window is ``window`` consecutive
     words of an item; a shorter item is one window. Null and empty texts have no words; items
     without words or with a null id have no windows, and an empty benchmark hits nothing. Repeated rows are
     judged row by row; an empty table gives an empty result.
@@ -278,7 +293,7 @@ def _merge_rows(part: pd.DataFrame) -> pd.DataFrame:
             joined[-1][1] = max(joined[-1][1], j)
         else:
             joined.append([int(i), int(j)])
-    best = part.sort_values("longest", ascending=False).iloc[0]
+    best = part.sort_values(["longest", "longest_at"], ascending=[False, True]).iloc[0]
     row = {
         "doc_id": part["doc_id"].iloc[0],
         "row_key": part["row_key"].iloc[0],

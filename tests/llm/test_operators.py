@@ -237,6 +237,14 @@ def test_decontamination(spark, docs, texts, nothing, monkeypatch, block, shard)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"])) for r in found.collect()) == sorted(want)
     clean = {r.doc_id for r in DE.decontaminate(docs, bench).collect()}
     assert clean == {i for (i, t), w in zip(texts, want, strict=True) if not w[2]}
+    # The longest match of each document, whatever its length, in every document that has it.
+    for r in found.collect():
+        if r.doc_id is not None and r.doc_id != 5:
+            w, best = words(plain[r.doc_id]), (0, 0)
+            for item, t in items:
+                v = words(t) if item is not None else []
+                best = max([best, *((k, -i) for i in range(len(w)) for j in range(len(v)) if w[i] == v[j] for k in [next((d for d in range(min(len(w) - i, len(v) - j)) if w[i + d] != v[j + d]), min(len(w) - i, len(v) - j))])])
+            assert (r.longest, -r.longest_at) == best
     assert DE.find_contamination(nothing, bench).count() == 0
     assert DE.find_contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
@@ -245,8 +253,19 @@ def test_longest_match():
     h = np.array([3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 1, 4, 1, 5, 8], np.uint64)
     s = DE.Suffixes(h, np.zeros(16, int))
     t = np.array([1, 4, 1, 5, 9, 2, 7], np.uint64)
-    lo, hi, longest, place = s.find(t, np.arange(7), np.arange(7, 0, -1), np.full(7, 4))
-    assert longest.tolist() == [6, 5, 4, 3, 2, 1, 0] and hi[0] - lo[0] == 2 and place[0] == 1
+    lo, hi, reach = s.find(t, np.arange(7), np.arange(7, 0, -1), np.full(7, 4))
+    assert reach.tolist() == [0, 6, 5, 4, 3, 2, 1, 0, 1, 0, 1, 4, 3, 2, 1, 0] and hi[0] - lo[0] == 2
+    rng = np.random.default_rng(3)
+    for _ in range(60):  # texts with copies, cut by breaks
+        base = rng.integers(0, 4, 60).astype(np.uint64)
+        cuts = [base[rng.integers(0, 30) : rng.integers(30, 60)] for _ in range(6)]
+        texts, tests = np.repeat(np.arange(6), [len(c) for c in cuts]), base[10:50]
+        left = np.arange(len(tests), 0, -1)
+        _, _, reach = DE.Suffixes(np.concatenate(cuts), texts).find(tests, np.arange(len(tests)), left, left)
+        want = []
+        for c in cuts:
+            want += [max((next((d for d in range(min(len(c) - i, len(tests) - k)) if c[i + d] != tests[k + d]), min(len(c) - i, len(tests) - k)) for k in range(len(tests))), default=0) for i in range(len(c))]
+        assert reach.tolist() == want
 
 
 def labelled(spark, n=400):
