@@ -2,10 +2,9 @@
 
 Every text is reduced to the SHA-256 of its normalised bytes. Map tasks first
 fold equal digests into one partial entry, so a digest that a third of all rows
-share leaves each task once. Shards of the digest space then keep a
-:class:`CuckooIndex`: a probe of the 16-bit fingerprints says "surely new" or
-"perhaps known"; a hit is verified against the full digests in the key's
-bucket; an insertion that finds no room makes the filter twice as large and
+share leaves each task once. Shards of the digest space, as many as keep each below about SHARD rows, then keep a
+:class:`CuckooIndex`: a probe of the 16-bit fingerprints says "surely new", and the digest is stored unseen, or
+"perhaps known"; only then the full digests are asked. An insertion that finds no room makes the filter twice as large and
 refills it from the stored digests.
 """
 
@@ -13,19 +12,21 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import lookup, small_batches, table
+from loomgrid.llm.common import documents, lookup, slices, small_batches, table
 
 #: Fixed value: the white space that normalisation deletes.
 SPACE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 MAX_KICKS = 200
+#: Rows of a shard, and live digests after which a map task hands on what it has.
+SHARD = 1_000_000
 
 
 def normalised(text: str) -> bytes:
@@ -74,11 +75,17 @@ class CuckooIndex:
         self.false_hits += value is None
         return value
 
-    def insert(self, digest: bytes, value) -> None:
-        """Add a live digest, or replace the value of one that is already there."""
-        known = digest in self.content
+    def insert(self, digest: bytes, value, merge: Callable | None = None) -> None:
+        """Add a live digest. One that is already there gets ``value``, or merge(old, value)."""
+        mark, a, b = self._places(digest)
+        if mark in self.slots[a * SLOTS : a * SLOTS + SLOTS] or mark in self.slots[b * SLOTS : b * SLOTS + SLOTS]:
+            known = self.content.get(digest)
+            if known is not None:
+                self.content[digest] = merge(known, value) if merge else value
+                return
+            self.false_hits += 1
         self.content[digest] = value
-        if not known and not self._place(digest):
+        if not self._place(digest):
             self._grow()
 
     def _place(self, digest: bytes) -> bool:
@@ -114,57 +121,62 @@ class CuckooIndex:
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        text = pc.fill_null(b.column(1), "")
-        digests = [hashlib.sha256(x.translate(None, SPACE)).digest() for x in text.cast(pa.binary()).to_pylist()]
+    for b in slices(batches, 1):
+        digests = [hashlib.sha256(x.translate(None, SPACE)).digest() for x in b.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pc.cast(pc.utf8_length(text), pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_points", "digest"]
+            [b.column(0), b.column(2), pc.cast(pc.utf8_length(b.column(1)), pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "row_key", "n_points", "digest"]
         )
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_points (code points of the original text), digest (32 bytes); null text counts as empty."""
+    """doc_id, row_key (hash of the text), n_points (code points of the original text), digest (32 bytes); null text counts as empty."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_digests, "doc_id long, n_points long, digest binary")
+    return documents(docs).mapInArrow(_digests, "doc_id long, row_key long, n_points long, digest binary")
 
 
 def _better(a: tuple, b: tuple) -> tuple:
-    """Entries are (n_points, doc_id or None, size); longest text, then smallest id (a null id last)."""
-    rank = lambda x: (-x[0], x[1] is None, x[1] or 0)
-    return (*min(a, b, key=rank)[:2], a[2] + b[2])
-
-
-def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard: merge partial entries in a cuckoo index, then return the live ones."""
-    index = CuckooIndex()
-    for b in batches:
-        for digest, *entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            known = index.find(digest)
-            if known is None:
-                index.insert(digest, tuple(entry))
-            else:
-                index.insert(digest, _better(known, tuple(entry)))
+    """Entries are (n_points, doc_id or None, row_key, size); longest text, then smallest id (a null id last), then least key."""
+    rank = lambda x: (-x[0], x[1] is None, x[1] or 0, x[2])
+    return (*min(a, b, key=rank)[:3], a[3] + b[3])
+
+
+def _live(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     live = list(index.content.items())
     for k in range(0, len(live), 10_000):
         part = live[k : k + 10_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([d for d, _ in part], pa.binary()), *(pa.array([e[i] for _, e in part], pa.int64()) for i in range(3))],
-            names=["digest", "n_points", "keep_id", "group_size"],
+            [pa.array([d for d, _ in part], pa.binary()), *(pa.array([e[i] for _, e in part], pa.int64()) for i in range(4))],
+            names=["digest", "n_points", "keep_id", "keep_key", "group_size"],
         )
 
 
-ENTRY = "digest binary, n_points long, keep_id long, group_size long"
+def _fold(most: int | None = None) -> Callable:
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Merge partial entries in a cuckoo index and return the live ones, as soon as there are ``most`` where that is given."""
+        index = CuckooIndex()
+        for b in batches:
+            for digest, *entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                index.insert(digest, tuple(entry), _better)
+            if most and len(index) >= most:
+                yield from _live(index)
+                index = CuckooIndex()
+        yield from _live(index)
+
+    return task
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """One row per distinct digest: digest, n_points, keep_id, group_size.
+ENTRY = "digest binary, n_points long, keep_id long, keep_key long, group_size long"
+
+
+def groups(rows: DataFrame, n_rows: int) -> DataFrame:
+    """One row per distinct digest: digest, n_points, keep_id, keep_key, group_size.
 
     Indexed twice: within each map task, so that a digest leaves it once however
     many rows share it, and within each shard of the digest space.
     """
-    entries = rows.select("digest", "n_points", "doc_id", F.lit(1).cast("long").alias("size")).mapInArrow(_fold, ENTRY)
-    return entries.repartition(F.col("digest")).mapInArrow(_fold, ENTRY)
+    entries = rows.select("digest", "n_points", "doc_id", "row_key", F.lit(1).cast("long").alias("size")).mapInArrow(_fold(SHARD), ENTRY)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return entries.repartition(max(least, -(-n_rows // SHARD)), F.col("digest")).mapInArrow(_fold(), ENTRY)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -178,7 +190,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     table gives an empty result.
     """
     rows = digests(docs)
-    found = table(groups(rows), "exact-groups")
+    found = table(groups(rows, docs.count()), "exact-groups")
     total = found.agg(F.sum("group_size")).first()[0] or 0
     out = lookup(rows.select("doc_id", "digest"), found.select("digest", "keep_id", "group_size"), ["digest"], "group_size", total)
     return out.select(
@@ -187,9 +199,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns; of rows equal in doc_id and text one stays."""
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_lg_id"), F.col("text_sha256").alias("_lg_digest")).distinct()
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    rows = docs.withColumns({"_lg_row": F.xxhash64("text"), "_lg_sha": digest})
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_lg_id")) & (F.col("_lg_sha") == F.col("_lg_digest"))
-    return rows.join(keep, on, "left_semi").dropDuplicates(["doc_id", "_lg_row"]).drop("_lg_row", "_lg_sha")
+    """One row of each group of equal texts (see exact_dedup), with all its columns; null texts and empty ones are one group.
+
+    Of rows that share a doc_id too the one with the longest text stays, and of repeated rows any one. An empty table stays empty.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    keep = groups(digests(docs), docs.count()).select(number("keep_id").alias("_lg_id"), F.col("keep_key").alias("_lg_key"))
+    rows = docs.withColumns({"_lg_id": number("doc_id"), "_lg_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    return rows.join(keep, ["_lg_id", "_lg_key"], "left_semi").dropDuplicates(["_lg_id", "_lg_key"]).drop("_lg_id", "_lg_key")

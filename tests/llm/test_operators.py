@@ -70,7 +70,10 @@ def test_exact(docs, texts, nothing):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
     left = EX.drop_copies(docs).collect()
     assert len(left) == len(groups) and set(left[0].asDict()) == set(docs.columns)
-    assert EX.exact_dedup(nothing).count() == 0
+    assert EX.exact_dedup(nothing).count() == 0 and EX.drop_copies(nothing).count() == 0
+    # Rows of one doc_id that differ in white space only are copies too.
+    rows = docs.sparkSession.createDataFrame([(1, "a b"), (1, "a  b"), (1, "ab "), (1, "a  b"), (2, "c"), (None, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in EX.drop_copies(rows).collect()) == [(1, "a  b"), (2, "c")]
 
 
 def test_cuckoo_index():
