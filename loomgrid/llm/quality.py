@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import small_batches, table
@@ -181,8 +182,10 @@ def co_train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, new: int
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
         sure = pool.mapInArrow(_most_sure(shared, new + len(used)), SURE_ROWS)
-        ranks = Window.partitionBy("view", "label").orderBy(F.desc("z"), "doc_id", "row_key")
-        ranked = sure.withColumn("k", F.row_number().over(ranks)).filter(F.col("k") <= new + len(used)).collect()
+        sure = table(sure, "quality-sure")
+        tops = [sure.filter((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("z"), "doc_id", "row_key").limit(new + len(used)) for v in (0, 1) for c in (0, 1)]
+        ranked = reduce(DataFrame.unionAll, tops).collect()
+        ranked.sort(key=lambda r: (-r.z, r.doc_id is not None, r.doc_id or 0, r.row_key))
         more: list[list] = [[], []]
         for view in (0, 1):
             for label in (0, 1):
