@@ -93,6 +93,13 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [part["shard"].iloc[0]], "once": [at.tobytes()], "twice": [np.flatnonzero(n == 2).astype(np.uint32).tobytes()]})
 
 
+def _packed(part: pd.DataFrame) -> pd.DataFrame:
+    """The merged "twice" bits of one shard, packed."""
+    bits = np.zeros(SHARD_BITS, bool)
+    bits[np.frombuffer(_merge(part)["twice"][0], np.uint32)] = True
+    return pd.DataFrame({"shard": [part["shard"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
 def filter_bits(n_keys: int) -> int:
     """A power of two, by the number of keys, at most MAX_BITS."""
     return min(MAX_BITS, max(SHARD_BITS, 1 << (BITS_PER_LINE * n_keys).bit_length()))
@@ -109,12 +116,9 @@ def twice_filter(docs: DataFrame, n_bits: int, keys_of: Callable) -> np.ndarray:
     seen = docs.select("text").mapInArrow(_seen(n_bits, keys_of), SEEN)
     salted = seen.withColumn("salt", F.spark_partition_id() % 16)
     some = salted.groupBy("shard", "salt").applyInPandas(_merge, SEEN)
-    whole = some.groupBy("shard").applyInPandas(_merge, SEEN)
     bits = np.zeros(n_bits // 8, np.uint8)
-    for shard, positions in whole.select("shard", "twice").toLocalIterator():
-        at = np.frombuffer(positions, np.uint32).astype(np.int64)
-        packed = np.packbits(np.bincount(at, minlength=SHARD_BITS).astype(bool), bitorder="little")
-        bits[shard * SHARD_BITS // 8 : (shard + 1) * SHARD_BITS // 8] = packed
+    for shard, packed in some.groupBy("shard").applyInPandas(_packed, "shard long, bits binary").toLocalIterator():
+        bits[shard * SHARD_BITS // 8 : (shard + 1) * SHARD_BITS // 8] = np.frombuffer(packed, np.uint8)
     return bits
 
 
