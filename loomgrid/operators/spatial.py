@@ -7,7 +7,7 @@ only, so no distinct is needed.
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +16,13 @@ from loomgrid.functions.geometry import box_iou, boxes_touch
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder (set to a temporary one only where none is)."""
+    """Cut lineage through the shared checkpoint folder; where none is set, a temporary one in local mode and an error on a cluster."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/loomgrid-{uuid.uuid4().hex}")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomgrid-"))
     return df.checkpoint()
 
 
