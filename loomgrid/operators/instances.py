@@ -9,16 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.functions.geometry import apply_affine, circle_ring, circularity, crown_diameter, pixel_size, transform_ring
+from loomgrid.functions.geometry import circle_ring, circularity, crown_diameter, pixel_size, ring_area, transform_ring
 from loomgrid.operators.seeds import squared_distance, to_array
 from loomgrid.operators.spatial import nearest
 
 INSTANCE = "scene string, row int, col int, inst int"
 
 
-def assign_voronoi(mask: DataFrame, seeds: DataFrame, cell: float = 16) -> DataFrame:
-    """Every mask pixel (row, col) goes to its nearest seed (seed_id, row, col), exactly; see spatial.nearest."""
-    return nearest(mask, seeds, cell)
+def assign_voronoi(mask: DataFrame, seeds: DataFrame, cell: float = 16, by: tuple = ()) -> DataFrame:
+    """Every mask pixel (row, col) goes to its nearest seed (seed_id, row, col) of the same ``by``, exactly; see spatial.nearest."""
+    return nearest(mask, seeds, cell, by)
 
 
 def flood(mask: np.ndarray, relief: np.ndarray, markers: np.ndarray) -> np.ndarray:
@@ -248,6 +248,7 @@ def mask_polygons(px: DataFrame, class_value: int = 1, transform: tuple = (1, 0,
     return out.withColumn("ring", transform_ring("ring", transform)).withColumn("holes", F.transform("holes", lambda h: transform_ring(h, transform)))
 
 
-def crown_centres(tree: DataFrame, transform: tuple) -> DataFrame:
-    x, y = apply_affine("cx", "cy", transform)
-    return tree.withColumn("x", x).withColumn("y", y)
+def largest_part(parts: DataFrame, by: str, part: str, ring: str = "ring") -> DataFrame:
+    """Of the parts of each multi-part polygon the one with the largest ring, the least ``part`` among equals."""
+    best = F.max_by(F.struct(*[c for c in parts.columns if c != by]), F.struct(ring_area(ring), -F.col(part)))
+    return parts.groupBy(by).agg(best.alias("_best")).select(by, "_best.*")

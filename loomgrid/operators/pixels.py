@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions.radiometry import tile_weight
+from loomgrid.operators.spatial import checkpointed
 
 
 def palm_mask(labels: DataFrame, palm_class: int, by: str = "scene") -> DataFrame:
@@ -65,25 +64,30 @@ def decide(blended: DataFrame) -> DataFrame:
     return blended.groupBy("row", "col").agg(F.max_by("cls", F.struct("p", -F.col("cls"))).alias("cls"), F.max("p").alias("p"))
 
 
-def infer(px: DataFrame, tile: int, overlap: int, scorer: Callable[[DataFrame], DataFrame], taper: float = 0.1) -> DataFrame:
-    """Tile, skip tiles without data, score, blend, decide: row, col, cls, p.
-
-    scorer maps rows (y, x, row, col, value, valid, ...) to the same with cls, p per class.
-    """
-    tiled = to_tiles(px, tile, overlap)
-    whole = Window.partitionBy("y", "x")
-    live = tiled.withColumn("_live", F.max("valid").over(whole)).filter("_live").drop("_live")
-    return decide(blend(scorer(live), tile, overlap, taper))
+def memory_gb(height, width, n_classes):
+    """Gigabytes of a dense accumulator for numbers or columns: a float per class, one for the weights, and a byte for the class."""
+    return height * width * (4 * (n_classes + 1) + 1) / 1e9
 
 
 def check_memory(height: int, width: int, n_classes: int, budget_gb: float) -> float:
     """Gigabytes of a dense accumulator; above the budget an error. Informative here: Spark spills."""
-    need = height * width * (4 * (n_classes + 1) + 1) / 1e9
+    need = memory_gb(height, width, n_classes)
     if need > budget_gb:
         raise MemoryError(f"{need:.1f} GB needed, budget {budget_gb} GB")
     return need
 
 
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """Adds ``rank`` (from 1) in the given order over all rows; sorting by it restores that order later.
+
+    Ranks come from range partitions and their sizes: no task sorts the whole table, and only one row a partition is broadcast.
+    """
+    s = checkpointed(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = s.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return s.withColumn("_k", within).join(F.broadcast(before.select("_part", "_base")), "_part").withColumn("rank", F.col("_k") + F.col("_base")).drop("_part", "_k", "_base")
+
+
 def percentile_stretch(px: DataFrame, low: float = 2, high: float = 98, value: str = "value") -> DataFrame:
     """Per band the stretch bounds over values above 0: band, lo, hi; no values: (0, 255); at least 1 apart."""
     bands = px.select("band").distinct()

@@ -173,11 +173,6 @@ def find_seeds(px: DataFrame, has_heatmap: bool = True, blur_size: int = 5, prob
     number = F.row_number().over(Window.partitionBy(scene).orderBy("row", "col"))
     seeds = checkpointed(seeds.select(scene, number.cast("int").alias("seed_id"), "row", "col", "strength"))
     if min_distance > 0:
-        parts = []
-        for (name,) in seeds.select(scene).distinct().toLocalIterator():
-            one = seeds.filter(F.col(scene) == name).select(scene, F.col("seed_id").alias("id"), F.col("col").alias("x"), F.col("row").alias("y"), "strength")
-            parts.append(suppress_close(one, min_distance).select(scene, F.col("id").alias("seed_id"), F.col("y").alias("row"), F.col("x").alias("col"), "strength"))
-        for p in parts[1:]:
-            parts[0] = parts[0].unionAll(p)
-        seeds = parts[0] if parts else seeds
+        points = seeds.select(scene, F.col("seed_id").alias("id"), F.col("col").alias("x"), F.col("row").alias("y"), "strength")
+        seeds = suppress_close(points, min_distance, by=(scene,)).select(scene, F.col("id").alias("seed_id"), F.col("y").alias("row"), F.col("x").alias("col"), "strength")
     return seeds

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.operators.instances import assign_voronoi, assign_watershed, crowns, trees
-from loomgrid.operators.pixels import blend, decide, palm_mask, to_tiles
+from loomgrid.operators.pixels import blend, decide, live_tiles, palm_mask, to_tiles
 from loomgrid.operators.seeds import find_seeds
-from loomgrid.operators.spatial import checkpointed, deduplicate_boxes
+from loomgrid.operators.spatial import checkpointed, deduplicate_rings
 
 METHODS = ("watershed", "voronoi")
 
@@ -23,20 +23,15 @@ def extract_trees(px: DataFrame, method: str = "watershed", blur_size: int = 5,
     if method == "watershed":
         instances = assign_watershed(px, seeds, has_heatmap=has_heatmap)
     else:
-        parts = []
-        for (scene,) in seeds.select("scene").distinct().toLocalIterator():
-            mask = px.filter((F.col("scene") == scene) & F.col("palm")).select("scene", "row", "col")
-            parts.append(assign_voronoi(mask, seeds.filter(F.col("scene") == scene)).select("scene", "row", "col", "inst"))
-        instances = parts[0] if parts else px.limit(0).select("scene", "row", "col", F.lit(0).alias("inst"))
-        for p in parts[1:]:
-            instances = instances.unionAll(p)
+        mask = px.filter("palm").select("scene", "row", "col")
+        instances = assign_voronoi(mask, seeds, by=("scene",)).select("scene", "row", "col", F.coalesce("inst", F.lit(0)).alias("inst"))
     instances = checkpointed(instances)
     full = instances.join(px.select("scene", "row", "col", "p"), ["scene", "row", "col"]) if has_heatmap else instances
     return instances, trees(full, "p" if has_heatmap else None, min_area, min_circularity)
 
 
 def extract(px: DataFrame, transform: tuple, palm_class: int = 1, geometry: str = "circle", dedup_iou: float = 0.0, **tuning) -> DataFrame:
-    """Crown layer of label rasters (scene, row, col, cls, p): see crowns. Overlapping crowns go by the IoU of their boxes."""
+    """Crown layer of label rasters (scene, row, col, cls, p): see crowns. Of crowns of a scene that overlap by dedup_iou or more (of their rings) the best stays."""
     masked = palm_mask(px, palm_class)
     _, found = extract_trees(masked, **tuning)
     layer = crowns(found, transform, geometry)
@@ -46,22 +41,21 @@ def extract(px: DataFrame, transform: tuple, palm_class: int = 1, geometry: str
     bounds = {"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}
     boxes = checkpointed(layer.withColumns(bounds))
     size = boxes.agg(F.max(F.col("x1") - F.col("x0"))).first()[0] or 1.0
-    parts = [deduplicate_boxes(boxes.filter(F.col("scene") == s), dedup_iou, size) for (s,) in boxes.select("scene").distinct().toLocalIterator()]
-    out = parts[0] if parts else boxes
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.select(*layer.columns)
+    return deduplicate_rings(boxes, dedup_iou, size, by=("scene",)).select(*layer.columns)
 
 
 def segment(px: DataFrame, scorer: Callable[[DataFrame], DataFrame], tile: int = 512, overlap: int = 128, palm_class: int = 1) -> DataFrame:
     """Label and heatmap of a raster by a scoring function supplied by the caller: row, col, cls, p (of palm_class).
 
-    px: row, col, valid and what the scorer reads.
+    px: row, col, valid and what the scorer reads. Tiles without a valid pixel aren't scored; pixels in no scored tile get class 0 and p 0.
     """
-    tiled = scorer(to_tiles(px, tile, overlap))
+    tiles = to_tiles(px, tile, overlap)
+    tiled = scorer(tiles.join(live_tiles(tiles), ["y", "x"], "left_semi"))
     blended = checkpointed(blend(tiled, tile, overlap))
     heat = blended.filter(F.col("cls") == palm_class).select("row", "col", F.col("p").alias("heat"))
-    return decide(blended).drop("p").join(heat, ["row", "col"], "left").withColumnRenamed("heat", "p")
+    found = decide(blended).drop("p").join(heat, ["row", "col"], "left")
+    every = px.select("row", "col").join(found, ["row", "col"], "left")
+    return every.select("row", "col", F.coalesce("cls", F.lit(0)).alias("cls"), F.coalesce("heat", F.lit(0.0)).alias("p"))
 
 
 def segment_and_extract(px: DataFrame, scorer, transform: tuple, tile: int = 512, overlap: int = 128, palm_class: int = 1, **tuning) -> DataFrame:

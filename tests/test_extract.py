@@ -5,10 +5,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomgrid.functions import geometry as G
+from loomgrid.operators import batch as BA
 from loomgrid.operators import instances as I
 from loomgrid.operators import pixels as P
 from loomgrid.operators import seeds as S
+from loomgrid.operators import spatial as SP
 from loomgrid.operators import validate as V
+from loomgrid.plans.batches import batch_extract
 from loomgrid.plans.extract import extract, extract_trees, segment
 from loomgrid.sources import rasters as RA
 from loomgrid.sources import vectors as VE
@@ -63,6 +67,56 @@ def test_solid_blob_and_empty_mask(spark):
     assert len(tree) == 1 and tree[0].area_px == 361 and tree[0].n_px == 400
 
 
+def test_true_overlap_decides(spark):
+    """Three discs: the middle score overlaps the best by more than half and goes; the far one stays."""
+    rows = [(1, 0.0, 0.9), (2, 0.5, 0.5), (3, 100.0, 0.8)]
+    c = spark.createDataFrame(rows, "id int, x double, score double").withColumn("ring", G.circle_ring("x", F.lit(0.0), F.lit(25 * np.pi)))
+    c = c.withColumns({"x0": F.col("x") - 5, "x1": F.col("x") + 5, "y0": F.lit(-5.0), "y1": F.lit(5.0)})
+    both = c.withColumn("scene", F.lit("a")).unionAll(c.withColumns({"scene": F.lit("b"), "score": -F.col("score")}))
+    got = {(r.scene, r.id) for r in SP.deduplicate_rings(both, 0.5, 10.0, by=("scene",)).collect()}
+    assert got == {("a", 1), ("a", 3), ("b", 2), ("b", 3)}
+    disc = lambda x: np.array([(x + np.cos(2 * np.pi * (k % 64) / 64), np.sin(2 * np.pi * (k % 64) / 64)) for k in range(65)])
+    lens = G.shared_area(disc(0.0), disc(1.0))
+    assert lens == pytest.approx(2 * np.pi / 3 - np.sqrt(3) / 2, rel=5e-3)
+    notched = np.array([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4), (0, 0)], float)
+    square = np.array([(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)], float)
+    assert G.shared_area(notched, square) == pytest.approx(2 * (1 / 2 * 1 * 1.5)) and G.shared_area(square, square + 5) == 0
+    assert G.shared_area(square, square) == pytest.approx(4)
+
+
+def test_nearest_keeps_scenes_and_repeated_points_apart(spark):
+    points = spark.createDataFrame([("a", 0, 0), ("a", 0, 0), ("a", 0, 90), ("b", 0, 0), ("c", 1, 1), ("a", None, 3)], "scene string, row int, col int")
+    seeds = spark.createDataFrame([("a", 1, 0, 3), ("a", 2, 0, 70), ("b", 1, 50, 50)], "scene string, seed_id int, row int, col int")
+    got = sorted((r.scene, str(r.row), r.col, str(r.inst)) for r in SP.nearest(points, seeds, 4, by=("scene",)).collect())
+    assert got == [("a", "0", 0, "1"), ("a", "0", 0, "1"), ("a", "0", 90, "2"), ("a", "None", 3, "None"), ("b", "0", 0, "1"), ("c", "1", 1, "None")]
+
+
+def test_batch_extract(spark):
+    """Three scenes of two trees and a broken one: six trees, one failure; then all but the broken one are skipped."""
+    p = cones(120, [(40, 40, 15), (80, 80, 18)])
+    one = table(spark, p, p > 0.2)
+    px = one.limit(0)
+    for name in ("scene0", "scene1", "scene2"):
+        px = px.unionAll(one.withColumn("scene", F.lit(name)))
+    px = px.unionAll(one.withColumn("scene", F.lit("broken")).filter("row <> 7")).cache()
+    layer, summary = batch_extract(px, GEO, method="voronoi")
+    rows = {r.file: (r.status, r.tree_count) for r in summary.collect()}
+    assert rows == {"scene0": ("ok", 2), "scene1": ("ok", 2), "scene2": ("ok", 2), "broken": ("failed", None)}
+    assert layer.count() == 6 and BA.totals(summary).first().asDict() == {"processed": 3, "skipped": 0, "failed": 1, "trees": 6}
+    layer, again = batch_extract(px, GEO, layer.select("scene").distinct(), method="voronoi")
+    assert sorted(r.status for r in again.collect()) == ["failed", "skipped", "skipped", "skipped"] and layer.count() == 0
+
+
+def test_small_parts(spark, tmp_path):
+    grid = RA.grid(spark, 0, 0, 4, 5)
+    V.require_same_shape(grid, grid)
+    with pytest.raises(ValueError):
+        V.require_same_shape(grid, RA.grid(spark, 0, 0, 4, 4))
+    px = grid.withColumns({"scene": F.lit("s"), "value": F.col("row") * 5 + F.col("col")})
+    VE.write_pixels(px, str(tmp_path / "px"))
+    assert spark.read.parquet(str(tmp_path / "px")).count() == 20
+
+
 def test_kernels():
     m = np.random.default_rng(1).random((25, 31)) > 0.3
     r, c = np.nonzero(~m)
