@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import documents, small_batches, table
+from loomgrid.llm.common import documents, slices, small_batches, table
 from loomgrid.llm.neardup import by_group
 from loomgrid.llm.words import mix
 
@@ -194,7 +194,7 @@ class WordIds:
 def _tokens(path: str) -> Callable:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizers.get(path) or _tokenizers.setdefault(path, WordIds(path))
-        for b in batches:
+        for b in slices(batches, 1):
             ids = coder.ids(b.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "row_key", "ids", "n"])
 

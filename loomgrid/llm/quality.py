@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import small_batches, table
+from loomgrid.llm.common import slices, small_batches, table
 
 #: Bound of the labelled sample; pseudo-labels of each class, view and round; rounds; least confidence of a pseudo-label.
 SAMPLE, NEW, ROUNDS, SURE = 6000, 150, 3, 0.95
@@ -68,7 +68,7 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None) ->
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 2):
         text = [text_features(x).tobytes() for x in b.column(2).cast(pa.binary()).to_pylist()]
         meta = [meta_features(*x).tobytes() for x in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text), pa.array(meta)], names=["doc_id", "row_key", "text", "meta"])

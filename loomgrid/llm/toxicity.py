@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import small_batches
+from loomgrid.llm.common import slices, small_batches
 from loomgrid.llm.words import NOT_SPACE, Words, mix
 
 N_GRAMS = (3, 4, 5, 6)
@@ -140,6 +140,10 @@ def fit(texts: list[str], toxic: np.ndarray, share_toxic: float | None = None, e
     return Toxicity(out, float(b[0] + 0.75 * np.log(share / (1 - share))))
 
 
+#: Bytes of text scored at once.
+SLICE = 1 << 19
+
+
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
     """At most ``size`` labelled texts of each class, chosen by a hash of doc_id, without the held-out remainder;
     and the share of toxic rows among all labelled ones that aren't held out.
@@ -160,7 +164,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
 def _score(model) -> Callable:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Toxicity = model.value
-        for b in batches:
+        for b in slices(batches, 1, SLICE):
             raws = [_raw(t or "") for t in b.column(1).to_pylist()]
             score = 1 / (1 + np.exp(-np.clip(m.logits(raws), -60, 60)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["doc_id", "score"])
