@@ -34,8 +34,8 @@ K1, B = 1.2, 0.75
 PLACES, BOUNDS = 8, 200
 #: Terms in more than 1 / DENSE of a shard's documents are held as rows of a matrix.
 DENSE = 8
-#: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers, in two generations: when the younger has half of them, the older one goes.
+REMEMBERED = 1_000_000
 
 _tokenizers: dict[str, "WordIds"] = {}
 
@@ -161,6 +161,7 @@ class WordIds:
             raise ValueError("special tokens without <| aren't told apart from plain words")
         self.merges = Merges(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
         text = b"\n".join(words).decode("utf-8", "replace")
@@ -177,13 +178,16 @@ class WordIds:
 
     def ids(self, raws: list[bytes]) -> list[np.ndarray]:
         """Ids of each text and END after them, as unsigned 16-bit numbers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
         out = []
         end = np.uint16(END).tobytes()
         get = self.known.__getitem__
         split = [raw.split() for raw in raws]
         new = set().union(*split).difference(self.known)
+        again = self.older.keys() & new if new and self.older else ()
+        self.known.update((w, self.older[w]) for w in again)
+        new.difference_update(again)
         if new:
             self._learn(list(new))
         for words in split:

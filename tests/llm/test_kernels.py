@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from loomgrid.llm import neardup as ND
+from loomgrid.llm import packing as PA
 from loomgrid.llm import suffix_dedup as SU
 
 
@@ -104,3 +105,13 @@ def test_owners_of_long_texts():
         rows = zip(*(c.tolist() for c in SU.owners(raws, piece)), strict=True)
         found.append({(t, w, g, p) for t, g, _, f, last, p in rows for w in range(f, last + 1)})
     assert found[0] == found[1] and len(found[0]) == sum(max(0, len(x) - 199) for x in raws)
+
+
+def test_forgotten_words_are_learnt_again(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 60, 30)).encode() for _ in range(40)]
+    want = PA.WordIds(PA.tokenizer_path()).ids(texts)
+    monkeypatch.setattr(PA, "REMEMBERED", 20)
+    coder = PA.WordIds(PA.tokenizer_path())
+    got = [coder.ids([t])[0] for t in texts]
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(coder.known) < 60
