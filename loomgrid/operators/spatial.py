@@ -106,9 +106,10 @@ def deduplicate_rings(crowns: DataFrame, iou: float, size: float, score: str = "
     """
     pairs = box_pairs(crowns, crowns, size, by).filter(F.col("a.id") < F.col("b.id"))
     shared = F.col("shared")
-    met = pairs.select(*by, F.col("a.id").alias("a"), F.col("b.id").alias("b"), common_area(F.col("a.ring"), F.col("b.ring")).alias("shared"), (ring_area(F.col("a.ring")) + ring_area(F.col("b.ring"))).alias("both"))
+    sides = pairs.select(*by, F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.ring").alias("ring_a"), F.col("b.ring").alias("ring_b"))
+    met = sides.withColumns({"shared": common_area("ring_a", "ring_b"), "both": ring_area("ring_a") + ring_area("ring_b")})
     close = met.filter(F.when(F.col("both") > shared, shared / (F.col("both") - shared)).otherwise(0.0) >= iou)
-    return greedy_survivors(crowns, close.select(*by, "a", "b"), score, by=by)
+    return greedy_survivors(crowns, close.select(*by, F.col("id_a").alias("a"), F.col("id_b").alias("b")), score, by=by)
 
 
 def nearest(points: DataFrame, seeds: DataFrame, cell: float, by: tuple = ()) -> DataFrame:
