@@ -112,13 +112,13 @@ def s12(v):
     return RA.overview(v.ms(), 20, 25, 6)
 
 
-@query("s13_demo_scene", """WITH b AS (SELECT CAST(p_partkey * 37 % 128 AS DOUBLE) AS y, CAST(p_partkey * 53 % 128 AS DOUBLE) AS x, 3.0::DOUBLE + p_size % 7 AS radius FROM part WHERE p_partkey < 40),
+@query("s13_demo_scene", """WITH b AS (SELECT CAST(p_partkey * 37 % 128 AS DOUBLE) AS y, CAST(p_partkey * 53 % 128 AS DOUBLE) AS x, 3.0::DOUBLE + p_size % 7 AS radius FROM part),
 g AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM range(128) a(r), range(128) d(c))
 SELECT row, col, round(coalesce(max(greatest(0.0::DOUBLE, 1 - sqrt((row - y) ** 2 + (col - x) ** 2) / radius)), 0.0), 6) AS p,
 CAST(coalesce(max(greatest(0.0::DOUBLE, 1 - sqrt((row - y) ** 2 + (col - x) ** 2) / radius)), 0.0) > 0.3 AS INT) AS label FROM g, b GROUP BY row, col""")
 def s13(v):
     k = F.col("p_partkey")
-    blobs = v.table("part").filter(k < 40).select((k * 37 % 128).cast("double").alias("row"), (k * 53 % 128).cast("double").alias("col"), (3.0 + F.col("p_size") % 7).alias("radius"))
+    blobs = v.table("part").select((k * 37 % 128).cast("double").alias("row"), (k * 53 % 128).cast("double").alias("col"), (3.0 + F.col("p_size") % 7).alias("radius"))
     return RA.demo_scene(v.spark, 128, blobs).withColumn("p", F.round("p", 6))
 
 
@@ -317,20 +317,11 @@ def j4(v):
     return T.split_overlaps(_tiles(v), 2.0)
 
 
-def _candidates(v, crowns):
-    n = crowns.select(F.col("id").alias("annot_id"), (F.col("id") % 4).cast("int").alias("cls"), (F.col("x0") + 0.3).alias("x0"), (F.col("y0") + 0.3).alias("y0"), (F.col("x1") + 0.1).alias("x1"), (F.col("y1") + 0.1).alias("y1"))
-    return T.candidates(_tiles(v), n, 2.0)
-
-
-@query("j5_candidates", _TILES + """, n AS (SELECT id AS annot_id, CAST(id % 4 AS INT) AS cls, x0 + 0.3::DOUBLE AS x0, y0 + 0.3::DOUBLE AS y0, x1 + 0.1::DOUBLE AS x1, y1 + 0.1::DOUBLE AS y1 FROM crown WHERE id % 2 = 0)
+@query("j5_candidates", _TILES + """, n AS (SELECT id AS annot_id, CAST(id % 4 AS INT) AS cls, x0 + 0.3::DOUBLE AS x0, y0 + 0.3::DOUBLE AS y0, x1 + 0.1::DOUBLE AS x1, y1 + 0.1::DOUBLE AS y1 FROM crown)
 SELECT tile_id, annot_id, cls FROM t JOIN n ON t.x0 <= n.x1 AND t.x1 >= n.x0 AND t.y0 <= n.y1 AND t.y1 >= n.y0""", "crown")
 def j5(v):
-    return _candidates(v, v.crown().filter("id % 2 = 0"))
-
-
-@query("j5_candidates_all")
-def j5_all(v):
-    return _candidates(v, v.crown())
+    n = v.crown().select(F.col("id").alias("annot_id"), (F.col("id") % 4).cast("int").alias("cls"), (F.col("x0") + 0.3).alias("x0"), (F.col("y0") + 0.3).alias("y0"), (F.col("x1") + 0.1).alias("x1"), (F.col("y1") + 0.1).alias("y1"))
+    return T.candidates(_tiles(v), n, 2.0)
 
 
 @query("j6_reject_straddling", _TILES + """ SELECT tile_id, split, region_id FROM t WHERE NOT EXISTS (SELECT 1 FROM reg r WHERE r.region_id <> t.region_id
@@ -447,21 +438,12 @@ def a4(v):
     return I.contours(_instances(v)).drop("ring")
 
 
-def _first_pixels(px):
-    c = S.components(px.select("scene", "row", "col"), 2)
-    return c.select("row", "col", F.floor(F.col("comp") / (1 << 31)).cast("int").alias("first_row"), (F.col("comp") % (1 << 31)).cast("int").alias("first_col"))
-
-
-@query("a5_components", """, m AS (SELECT row, col, row * 50 + col AS id FROM px WHERE palm AND p > 0.3 AND row < 30), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+@query("a5_components", """, m AS (SELECT row, col, row * 50 + col AS id FROM px WHERE palm AND p > 0.3), e AS (SELECT a.id AS a, b.id AS b FROM m a, range(-1, 2) r(dr), range(-1, 2) c(dc), m b WHERE b.row = a.row + dr AND b.col = a.col + dc),
 reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, min(b) AS least FROM r GROUP BY a)
 SELECT row, col, CAST(least // 50 AS INT) AS first_row, CAST(least % 50 AS INT) AS first_col FROM m JOIN reach ON id = a""", "px")
 def a5(v):
-    return _first_pixels(v.px().filter("palm and p > 0.3 and row < 30"))
-
-
-@query("a5_components_all")
-def a5_all(v):
-    return _first_pixels(v.px().filter("palm and p > 0.3"))
+    c = S.components(v.px().filter("palm and p > 0.3").select("scene", "row", "col"), 2)
+    return c.select("row", "col", F.floor(F.col("comp") / (1 << 31)).cast("int").alias("first_row"), (F.col("comp") % (1 << 31)).cast("int").alias("first_col"))
 
 
 @query("a6_a7_plateau_seeds")
@@ -685,21 +667,12 @@ def u3(v):
 
 # Raster to vector, geometry
 
-def _burned(pixels, crowns):
-    px = pixels.select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"), (F.col("col") < 45).alias("inside"))
-    polygons = crowns.select((F.col("id") % 5 + 1).cast("int").alias("cls"), G.box_ring("x0", "y0", "x1", "y1").alias("ring"), "x0", "y0", "x1", "y1")
-    return T.burn(px, polygons, 2.0, "inside").select("row", "col", "mask")
-
-
-@query("b1_burn", """, c AS (SELECT *, CAST(id % 5 + 1 AS INT) AS cls FROM crown WHERE id % 3 = 0), g AS (SELECT row, col, col + 0.5::DOUBLE AS x, row + 0.5::DOUBLE AS y FROM px WHERE row < 40)
+@query("b1_burn", """, c AS (SELECT *, CAST(id % 5 + 1 AS INT) AS cls FROM crown), g AS (SELECT row, col, col + 0.5::DOUBLE AS x, row + 0.5::DOUBLE AS y FROM px)
 SELECT row, col, CASE WHEN col < 45 THEN coalesce(max(cls), 0) ELSE 0 END AS mask FROM g LEFT JOIN c ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY row, col""", "px crown")
 def b1(v):
-    return _burned(v.px().filter("row < 40"), v.crown().filter("id % 3 = 0"))
-
-
-@query("b1_burn_all")
-def b1_all(v):
-    return _burned(v.px(), v.crown())
+    px = v.px().select("row", "col", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"), (F.col("col") < 45).alias("inside"))
+    polygons = v.crown().select((F.col("id") % 5 + 1).cast("int").alias("cls"), G.box_ring("x0", "y0", "x1", "y1").alias("ring"), "x0", "y0", "x1", "y1")
+    return T.burn(px, polygons, 2.0, "inside").select("row", "col", "mask")
 
 
 @query("b2_b3_affine", "SELECT id, 0.31::DOUBLE * x0 + 0.0::DOUBLE * y0 + 400000.0::DOUBLE AS x, 0.0::DOUBLE * x0 + -0.31::DOUBLE * y0 + 2700000.0::DOUBLE AS y FROM crown", "crown")

@@ -10,9 +10,6 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 from loomgrid.plans.queries import ORACLES, QUERIES  # noqa: E402
 
-#: The oracle of these reads too many pairs to be run in a test.
-SLOW = {"a5_components"}
-
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
@@ -31,7 +28,7 @@ def duck():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got, want = QUERIES[name](spark, str(DATA)).toPandas(), duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

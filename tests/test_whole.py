@@ -1,4 +1,4 @@
-"""Queries over whole layers against brute force, on layers that reach beyond the rows of those with SQL."""
+"""Queries over whole layers against brute force, on layers beyond those of the smallest tables."""
 
 import random
 
@@ -33,7 +33,7 @@ def test_components(spark, layers):
             if (y, x) in todo and (y, x) not in want:
                 want[y, x] = start
                 front += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    got = QUERIES["a5_components_all"](spark, folder).collect()
+    got = QUERIES["a5_components"](spark, folder).collect()
     assert max(y for y, _ in want) > 60 and want[59, 7][0] < 30
     assert {(r.row, r.col): (r.first_row, r.first_col) for r in got} == want and len(got) == len(want)
 
@@ -51,7 +51,7 @@ def test_burn(spark, layers):
         y, x = divmod(k, 50)
         over = [i % 5 + 1 for i, x0, y0, x1, y1 in boxes(parts) if x0 <= x + 0.5 < x1 and y0 <= y + 0.5 < y1]
         want[y, x] = max(over, default=0) if x < 45 else 0
-    got = {(r.row, r.col): r.mask for r in QUERIES["b1_burn_all"](spark, folder).collect()}
+    got = {(r.row, r.col): r.mask for r in QUERIES["b1_burn"](spark, folder).collect()}
     assert got == want and any(m for (y, _), m in want.items() if y >= 40)
 
 
@@ -60,7 +60,7 @@ def test_candidates(spark, layers):
     tiles = list(boxes(parts))
     notes = [(i, x0 + 0.3, y0 + 0.3, x1 + 0.1, y1 + 0.1) for i, x0, y0, x1, y1 in tiles]
     want = sorted((t, i, i % 4) for t, a0, b0, a1, b1 in tiles for i, x0, y0, x1, y1 in notes if a0 <= x1 and a1 >= x0 and b0 <= y1 and b1 >= y0)
-    got = QUERIES["j5_candidates_all"](spark, folder).collect()
+    got = QUERIES["j5_candidates"](spark, folder).collect()
     assert sorted((r.tile_id, r.annot_id, r.cls) for r in got) == want and any(i % 2 for _, i, _ in want)
 
 
