@@ -104,31 +104,26 @@ class Merges:
             todo = todo[~hit & (here != EMPTY)]
         return out
 
-    def ids(self, parts: list[bytes], new_word: np.ndarray) -> tuple[bytes, list[int]]:
-        """Ids (unsigned 16-bit) of all words, and where each word's bytes begin.
-
-        parts: non-empty byte strings, merged each by itself; new_word: true for the marks between words,
-        which have no ids.
-        """
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        word = np.repeat(np.cumsum(new_word, dtype=np.int32), size)
-        part = np.repeat(np.arange(len(parts), dtype=np.int32), size)
-        data = np.frombuffer(b"".join(parts), np.uint8)
+    def ids(self, text: str) -> tuple[bytes, list[int]]:
+        """Ids (unsigned 16-bit) of all lines of ``text`` (lower-cased Latin-1), and where each line's bytes begin."""
+        parts = np.fromiter(map(len, _PART.findall(text)), np.int64)
+        latin, data = np.frombuffer(text.encode("latin-1"), np.uint8), np.frombuffer(text.encode(), np.uint8)
+        size = np.add.reduceat(1 + (latin > 127), np.cumsum(parts) - parts)
         last = np.cumsum(size) - 1
         symbol = self.inner[data]
         symbol[last] = self.last[data[last]]
-        real = ~np.repeat(new_word, size)
-        symbol, part, place = symbol[real], part[real], np.flatnonzero(real).astype(np.int32)
+        place = np.flatnonzero(data != 10).astype(np.int32)
+        symbol, part = symbol[place], np.repeat(np.arange(len(parts), dtype=np.int32), size)[place]
+        rank = np.full(len(symbol), NONE)
+        self._rerank(rank, symbol, part, np.arange(len(symbol)))
         out = np.full(len(data), EMPTY)
         while len(symbol):
-            rank = np.full(len(symbol), NONE)
-            same = np.flatnonzero(part[:-1] == part[1:])
-            rank[same] = self.rank((symbol[same] << np.uint32(16)) | symbol[same + 1])
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(part)]))
             live = least != NONE
-            out[place[~live]] = symbol[~live]
-            symbol, part, place, rank, least = symbol[live], part[live], place[live], rank[live], least[live]
+            if not live.all():
+                out[place[~live]] = symbol[~live]
+                symbol, part, place, rank, least = symbol[live], part[live], place[live], rank[live], least[live]
             hit = np.flatnonzero(rank == least)
             if not len(hit):
                 continue
@@ -138,11 +133,22 @@ class Merges:
             symbol[hit] = self.made[rank[hit]]
             keep = np.ones(len(symbol), bool)
             keep[hit + 1] = False
-            symbol, part, place = symbol[keep], part[keep], place[keep]
+            symbol, part, place, rank = symbol[keep], part[keep], place[keep], rank[keep]
+            # Only pairs beside a merge have a new rank.
+            at = hit - np.arange(len(hit))
+            self._rerank(rank, symbol, part, np.r_[at, at[at > 0] - 1])
         got = np.flatnonzero(out != EMPTY)
-        cuts = 2 * np.searchsorted(word[got], np.arange(int(new_word.sum()) + 2))
+        breaks = np.flatnonzero(data == 10)
+        cuts = 2 * np.searchsorted(got, np.r_[0, breaks, len(data)])
         return out[got].astype("<u2").tobytes(), cuts.tolist()
 
+    def _rerank(self, rank: np.ndarray, symbol: np.ndarray, part: np.ndarray, at: np.ndarray) -> None:
+        """Set the ranks of the pairs that begin at ``at``; a part's last symbol begins none."""
+        inside = at[at + 1 < len(symbol)]
+        inside = inside[part[inside] == part[inside + 1]]
+        rank[at] = NONE
+        rank[inside] = self.rank((symbol[inside] << np.uint32(16)) | symbol[inside + 1])
+
 
 class WordIds:
     """Ids of texts as the vocabulary file's tokenizer gives them, word by word.
@@ -171,28 +177,28 @@ class WordIds:
                 self.known[w] = np.array(self.model.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
             words, text = plain, b"\n".join(plain).decode()
         if words:
-            parts = _PART.findall(text.lower())
-            word = np.fromiter(map("\n".__eq__, parts), bool, len(parts))
-            raw, cuts = self.merges.ids([x.encode() for x in parts], word)
+            raw, cuts = self.merges.ids(text.lower())
             self.known.update(zip(words, [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def ids(self, raws: list[bytes]) -> list[np.ndarray]:
         """Ids of each text and END after them, as unsigned 16-bit numbers."""
         if len(self.known) > REMEMBERED // 2:
             self.older, self.known = self.known, {}
-        out = []
-        end = np.uint16(END).tobytes()
-        get = self.known.__getitem__
         split = [raw.split() for raw in raws]
-        new = set().union(*split).difference(self.known)
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = {words[i] for words, at in zip(split, gaps, strict=True) for i in at}
         again = self.older.keys() & new if new and self.older else ()
         self.known.update((w, self.older[w]) for w in again)
         new.difference_update(again)
         if new:
             self._learn(list(new))
-        for words in split:
-            out.append(np.frombuffer(b"".join([*map(get, words), end]), "<u2"))
-        return out
+        end = np.uint16(END).tobytes()
+        for words, ids, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                ids[i] = self.known[words[i]]
+            ids.append(end)
+        return [np.frombuffer(b"".join(x), "<u2") for x in found]
 
 
 def _tokens(path: str) -> Callable:
