@@ -135,6 +135,52 @@ def shared_area(a: np.ndarray, b: np.ndarray) -> float:
     return float(total)
 
 
+def clip_ring(points: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
+    """The part of a closed ring inside a box, closed again; no points where nothing is left.
+
+    The ring is cut by one side of the box after the other. Parts of a ring that falls apart stay joined by edges that run
+    along the box and back, which have no area.
+    """
+    for axis, bound, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        if len(points) < 4:
+            return points[:0]
+        a, b = points[:-1], points[1:]
+        da, db = sign * (a[:, axis] - bound), sign * (b[:, axis] - bound)
+        crossed = (da < 0) != (db < 0)
+        t = np.where(crossed, da / np.where(crossed, da - db, 1), 0)[:, None]
+        met = a + t * (b - a)
+        met[:, axis] = bound
+        # Per edge: the crossing, if there is one, then the edge's end, if it lies inside.
+        both = np.stack([met, b], 1).reshape(-1, 2)[np.stack([crossed, db >= 0], 1).ravel()]
+        points = np.concatenate([both, both[:1]])
+    return points if len(points) > 3 else points[:0]
+
+
+def clipped(ring: Column | str, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """Closed rings of structs x, y cut to a box, with the boxes of what is left: a struct ring, x0..y1, null where no area is left.
+
+    An Arrow UDF, for layers of regions.
+    """
+
+    @F.pandas_udf("ring array<struct<x:double,y:double>>, x0 double, y0 double, x1 double, y1 double")
+    def cut(rings: pd.Series) -> pd.DataFrame:
+        out = []
+        for r in rings:
+            p = clip_ring(np.array([(q["x"], q["y"]) for q in r], float).reshape(-1, 2), x0, y0, x1, y1)
+            x, y = (p - p[:1]).T
+            some = len(p) and (x[:-1] * y[1:] - x[1:] * y[:-1]).sum() != 0
+            out.append(([{"x": u, "y": v} for u, v in p.tolist()], *p.min(0).tolist(), *p.max(0).tolist()) if some else (None,) * 5)
+        return pd.DataFrame(out, columns=["ring", "x0", "y0", "x1", "y1"])
+
+    return cut(as_column(ring))
+
+
+def ring_bounds(ring: Column | str) -> dict[str, Column]:
+    """The box x0, y0, x1, y1 of a ring."""
+    xs, ys = F.transform(as_column(ring), lambda q: q["x"]), F.transform(as_column(ring), lambda q: q["y"])
+    return {"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)}
+
+
 def common_area(a: Column | str, b: Column | str) -> Column:
     """Area inside both of two closed rings of structs x, y; an Arrow UDF, for few candidates."""
 

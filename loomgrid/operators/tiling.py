@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.functions.geometry import apply_affine, invert_affine, overlap_area, point_in_ring
+from loomgrid.functions.geometry import apply_affine, box_ring, boxes_touch, clipped, common_area, invert_affine, overlap_area, point_in_ring
 from loomgrid.operators.spatial import box_pairs
 
 
 def region_grid(regions: DataFrame, transform: tuple, width: int, height: int, tile: int, overlap: int) -> DataFrame:
     """Tiles of each region (region_id, x0..y1 in map units): region_id, r, c, x_off, y_off.
 
-    The grid hangs on the region's upper left pixel (rounded down; its lower right rounded up). Tiles that begin outside the raster are left out.
+    The grid hangs on the region's upper left pixel (rounded down; its lower right rounded up), within the raster. Regions outside of it have no tiles.
     """
     stride = tile - overlap
     ca, ra = invert_affine("x0", "y0", transform)
     cb, rb = invert_affine("x1", "y1", transform)
-    px = regions.withColumns({"pc0": F.floor(F.least(ca, cb)), "pc1": F.ceil(F.greatest(ca, cb)), "pr0": F.floor(F.least(ra, rb)), "pr1": F.ceil(F.greatest(ra, rb))})
+    low = lambda a, b: F.greatest(F.floor(F.least(a, b)), F.lit(0))
+    high = lambda a, b, most: F.least(F.ceil(F.greatest(a, b)), F.lit(most))
+    px = regions.withColumns({"pc0": low(ca, cb), "pc1": high(ca, cb, width), "pr0": low(ra, rb), "pr1": high(ra, rb, height)}).filter("pc1 > pc0 and pr1 > pr0")
     n = lambda a, b: F.when(F.col(b) - F.col(a) > overlap, F.ceil((F.col(b) - F.col(a) - overlap) / stride)).otherwise(1)
     g = px.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), n("pr0", "pr1").cast("long") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), n("pc0", "pc1").cast("long") - 1)))
     g = g.withColumns({"x_off": F.col("pc0") + F.col("c") * stride, "y_off": F.col("pr0") + F.col("r") * stride})
-    return g.filter((F.col("x_off") < width) & (F.col("y_off") < height) & (F.col("x_off") > -tile) & (F.col("y_off") > -tile)).drop("pc0", "pc1", "pr0", "pr1")
+    return g.filter((F.col("x_off") < width) & (F.col("y_off") < height)).drop("pc0", "pc1", "pr0", "pr1")
 
 
 def tile_boxes(tiles: DataFrame, transform: tuple, tile: int) -> DataFrame:
@@ -32,9 +34,17 @@ def tile_boxes(tiles: DataFrame, transform: tuple, tile: int) -> DataFrame:
 
 
 def inside_own_region(tiles: DataFrame, regions: DataFrame, mode: str = "strict") -> DataFrame:
-    """Tiles (region_id and box) that their region covers (strict) or meets (mask)."""
+    """Tiles (region_id and box) that their region covers (strict) or meets (mask).
+
+    Regions are boxes, or polygons where they have a column ``ring`` besides their box: a polygon covers a tile when the area they share
+    is the tile's (to one part in a billion), and meets it when they share any.
+    """
     j = tiles.alias("t").join(regions.alias("r"), F.col("t.region_id") == F.col("r.region_id"))
     c = lambda a: F.col(a)
+    if "ring" in regions.columns:
+        area = (c("t.x1") - c("t.x0")) * (c("t.y1") - c("t.y0"))
+        met = j.filter(boxes_touch("t", "r")).withColumn("_met", common_area(box_ring("t.x0", "t.y0", "t.x1", "t.y1"), c("r.ring")))
+        return met.filter(c("_met") >= area * (1 - 1e-9) if mode == "strict" else c("_met") > 0).select("t.*")
     if mode == "strict":
         ok = (c("t.x0") >= c("r.x0")) & (c("t.y0") >= c("r.y0")) & (c("t.x1") <= c("r.x1")) & (c("t.y1") <= c("r.y1"))
     else:
@@ -43,10 +53,13 @@ def inside_own_region(tiles: DataFrame, regions: DataFrame, mode: str = "strict"
 
 
 def straddling(tiles: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
-    """Ids of tiles (tile_id, region_id, box) that share more than 1e-6 of their area with another region."""
+    """Ids of tiles (tile_id, region_id, box) that share more than 1e-6 of their area with another region (a box, or a polygon with a column ``ring``)."""
     pairs = box_pairs(tiles, regions, cell).filter(F.col("a.region_id") != F.col("b.region_id"))
     area = (F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0"))
-    return pairs.filter(overlap_area("a", "b") > 1e-6 * area).select(F.col("a.tile_id").alias("tile_id")).distinct()
+    pairs = pairs.filter(overlap_area("a", "b") > 1e-6 * area)
+    if "ring" in regions.columns:
+        pairs = pairs.filter(common_area(box_ring("a.x0", "a.y0", "a.x1", "a.y1"), F.col("b.ring")) > 1e-6 * area)
+    return pairs.select(F.col("a.tile_id").alias("tile_id")).distinct()
 
 
 def reject_straddling(tiles: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
@@ -61,21 +74,29 @@ def split_overlaps(tiles: DataFrame, cell: float) -> DataFrame:
 
 
 def candidates(tiles: DataFrame, annotations: DataFrame, cell: float) -> DataFrame:
-    """Annotations (annot_id, cls, box) that meet each tile (tile_id, box)."""
-    return box_pairs(tiles, annotations, cell).select(F.col("a.tile_id").alias("tile_id"), F.col("b.annot_id").alias("annot_id"), F.col("b.cls").alias("cls"))
+    """Annotations (annot_id, cls, box) that meet each tile (tile_id, box); those with a column ``ring`` must share some area with it."""
+    pairs = box_pairs(tiles, annotations, cell)
+    if "ring" in annotations.columns:
+        pairs = pairs.filter(common_area(box_ring("a.x0", "a.y0", "a.x1", "a.y1"), F.col("b.ring")) > 0)
+    return pairs.select(F.col("a.tile_id").alias("tile_id"), F.col("b.annot_id").alias("annot_id"), F.col("b.cls").alias("cls"))
+
+
+def pixels_inside(pixels: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Pairs of a pixel (x, y of its centre, and keys) and a polygon (ring, box) whose ring holds the centre, with the columns of both but x, y, ring and box."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    spread = polygons.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1")).drop("x0", "y0", "x1", "y1")
+    p = pixels.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    return p.join(spread, ["cx", "cy"]).filter(point_in_ring(F.col("x"), F.col("y"), "ring")).drop("cx", "cy", "x", "y", "ring")
 
 
 def burn(pixels: DataFrame, polygons: DataFrame, cell: float, region_mask: str | None = None) -> DataFrame:
     """Adds ``mask``: the largest class of the polygons whose ring holds the pixel's centre, else 0.
 
-    pixels: x, y (map coordinates of the centre) and keys. polygons: cls, ring, x0..y1. Painting in rising class order leaves
+    pixels: x, y (map coordinates of the centre) and further columns, which together are a key without nulls. polygons: cls, ring, x0..y1. Painting in rising class order leaves
     the largest class on top. Pixels where ``region_mask`` is false are 0.
     """
-    keys = pixels.columns
-    spread = polygons.withColumns({"cx": F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell)))}).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
-    p = pixels.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    inside = point_in_ring(F.col("x"), F.col("y"), "ring")
-    met = p.join(spread.select("cls", "ring", "cx", "cy"), ["cx", "cy"]).filter(inside).groupBy(*keys).agg(F.max("cls").alias("mask"))
+    keys = [k for k in pixels.columns if k not in ("x", "y")]
+    met = pixels_inside(pixels, polygons.select("cls", "ring", "x0", "y0", "x1", "y1"), cell).groupBy(*keys).agg(F.max("cls").alias("mask"))
     out = pixels.join(met, keys, "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     return out.withColumn("mask", F.when(F.col(region_mask), F.col("mask")).otherwise(0)) if region_mask else out
 
@@ -98,8 +119,8 @@ def foreground_tiles(masks: DataFrame, keys: list[str], value: str = "mask") ->
     return masks.groupBy(*keys).agg(F.max(value).alias("top")).filter("top > 0").drop("top")
 
 
-def number_tiles(tiles: DataFrame, start: int = 0) -> DataFrame:
-    """Adds tile_id and tile_name, counted per job and split in order of region, row, column."""
+def number_tiles(tiles: DataFrame, start: int | Column = 0) -> DataFrame:
+    """Adds tile_id and tile_name, counted from ``start`` per job and split in order of region, row, column."""
     w = Window.partitionBy("job_name", "split").orderBy("region_id", "r", "c")
     n = F.row_number().over(w) - 1 + start
     return tiles.withColumn("tile_id", n.cast("long")).withColumn("tile_name", F.format_string("%s_%s_tile_%06d", "job_name", "split", n))
@@ -131,3 +152,9 @@ def clip_boxes(regions: DataFrame, x0: float, y0: float, x1: float, y1: float) -
     """Common part of region boxes and the mosaic's box; empty ones are dropped."""
     cut = {"x0": F.greatest("x0", F.lit(x0)), "y0": F.greatest("y0", F.lit(y0)), "x1": F.least("x1", F.lit(x1)), "y1": F.least("y1", F.lit(y1))}
     return regions.withColumns(cut).filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+
+
+def clip_rings(regions: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Common part of polygons (``ring``) and the mosaic's box, with the box x0..y1 of what is left; empty ones are dropped."""
+    kept = [c for c in regions.columns if c not in ("ring", "x0", "y0", "x1", "y1")]
+    return regions.select(*kept, clipped("ring", x0, y0, x1, y1).alias("part")).select(*kept, "part.*").filter("ring is not null")

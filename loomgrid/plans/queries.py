@@ -22,6 +22,7 @@ from loomgrid.operators import tiling as T
 from loomgrid.operators import validate as V
 from loomgrid.plans import models as M
 from loomgrid.plans.extract import extract
+from loomgrid.plans.tile_job import TileJob, tile_job
 from loomgrid.plans.views import Views, with_views
 from loomgrid.sources import rasters as RA
 from loomgrid.sources import vectors as VE
@@ -599,7 +600,7 @@ def w7(v):
     return P.tile_grid(700, 500, 128, 32, v.spark)
 
 
-_GRID = """, pc AS (SELECT region_id, split, CAST(floor(x0 * 4) AS BIGINT) AS c0, CAST(ceil(x1 * 4) AS BIGINT) AS c1, CAST(floor((40 - y1) * 4) AS BIGINT) AS r0, CAST(ceil((40 - y0) * 4) AS BIGINT) AS r1 FROM reg),
+_GRID = """, pc AS (SELECT region_id, split, CAST(floor(x0 * 4) AS BIGINT) AS c0, least(190, CAST(ceil(x1 * 4) AS BIGINT)) AS c1, CAST(floor((40 - y1) * 4) AS BIGINT) AS r0, least(150, CAST(ceil((40 - y0) * 4) AS BIGINT)) AS r1 FROM reg),
 gr AS (SELECT region_id, lower(trim(split)) AS split, r, c, c0 + c * 12 AS x_off, r0 + r * 12 AS y_off FROM pc, unnest(range(0, CASE WHEN r1 - r0 > 4 THEN CAST(ceil((r1 - r0 - 4) / 12.0) AS BIGINT) ELSE 1 END)) a(r),
   unnest(range(0, CASE WHEN c1 - c0 > 4 THEN CAST(ceil((c1 - c0 - 4) / 12.0) AS BIGINT) ELSE 1 END)) b(c) WHERE c0 + c * 12 < 190 AND r0 + r * 12 < 150)"""
 
@@ -789,3 +790,23 @@ def v8_dedup(v):
     c = v.table("part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 50).alias("scene"), x.alias("x"), F.col("p_retailprice").alias("score"))
     bounds = {"x0": F.col("x") - 2, "x1": F.col("x") + 2, "y0": F.lit(-2.0), "y1": F.lit(2.0), "ring": G.circle_ring("x", F.lit(0.0), F.lit(4 * math.pi))}
     return SP.deduplicate_rings(c.withColumns(bounds), 0.3, 4.0, by=("scene",)).select("id", "scene")
+
+
+@query("v10_tile_job", """, size AS (SELECT max(row) + 1 AS h FROM ms),
+rg AS (SELECT region_id, lower(trim(split)) AS split, x0, y0, least(x1, 20) AS x1, least(y1, h) AS y1, CASE WHEN lower(trim(split)) = 'train' THEN 2 ELSE 0 END AS o FROM reg, size WHERE x0 < 20 AND y0 < h),
+spot AS (SELECT region_id, split, r, c, x0, y0, x1, y1, CAST(x0 AS BIGINT) + c * (6 - o) AS x, CAST(y0 AS BIGINT) + r * (6 - o) AS y FROM rg,
+  unnest(range(0, greatest(1, CAST(ceil((y1 - y0 - o) / (6 - o)) AS BIGINT)))) a(r), unnest(range(0, greatest(1, CAST(ceil((x1 - x0 - o) / (6 - o)) AS BIGINT)))) b(c)),
+own AS (SELECT * FROM spot t WHERE x >= x0 AND y >= y0 AND x + 6 <= x1 AND y + 6 <= y1 AND NOT EXISTS (SELECT 1 FROM rg q WHERE q.region_id <> t.region_id
+  AND greatest(0, least(t.x + 6, q.x1) - greatest(t.x, q.x0)) * greatest(0, least(t.y + 6, q.y1) - greatest(t.y, q.y0)) > 0.000036)),
+mask AS (SELECT row, col, max(id % 5 + 1) AS cls FROM (SELECT DISTINCT row, col FROM ms) p JOIN crown ON col + 0.5::DOUBLE >= x0 AND col + 0.5::DOUBLE < x1 AND row + 0.5::DOUBLE >= y0 AND row + 0.5::DOUBLE < y1 GROUP BY row, col),
+tiles AS (SELECT region_id, split, r, c, sum(value) AS value_sum, sum(CASE WHEN band = 0 THEN coalesce(cls, 0) ELSE 0 END) AS mask_sum FROM own JOIN ms ON row >= y AND row < y + 6 AND col >= x AND col < x + 6 LEFT JOIN mask USING (row, col)
+  GROUP BY region_id, split, r, c HAVING count_if(value <> 0) / (36.0 * 8) >= 0.5 AND max(coalesce(cls, 0)) > 0)
+SELECT region_id, r, c, 'j_' || split || '_tile_' || lpad(CAST(row_number() OVER w - 1 AS VARCHAR), 6, '0') AS tile_name, value_sum, CAST(mask_sum AS BIGINT) AS mask_sum FROM tiles WINDOW w AS (PARTITION BY split ORDER BY region_id, r, c)""", "ms crown region")
+def v10(v):
+    px = v.ms()
+    job = TileJob("j", (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), 20, px.agg(F.max("row") + 1).first()[0], tile=6, overlap=2, boundary="strict", stretch=False)
+    polygons = v.crown().select((F.col("id") % 5 + 1).cast("int").alias("cls"), G.box_ring("x0", "y0", "x1", "y1").alias("ring"), "x0", "y0", "x1", "y1")
+    made = tile_job(job, px, v.region(), polygons)
+    total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
+    sums = made["pixels"].groupBy("tile_name").agg(F.sum(total).alias("value_sum"), F.sum("mask").alias("mask_sum"))
+    return made["index"].select("region_id", "r", "c", "tile_name").join(sums, "tile_name")
