@@ -20,10 +20,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import documents, slices, small_batches, table
+from loomgrid.llm.common import BATCH_BYTES, documents, slices, small_batches, table
 from loomgrid.llm.neardup import by_group
 from loomgrid.llm.words import mix
 
@@ -180,32 +181,54 @@ class WordIds:
             raw, cuts = self.merges.ids(text.lower())
             self.known.update(zip(words, [raw[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
 
-    def ids(self, raws: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text and END after them, as unsigned 16-bit numbers."""
+    def ids(self, raws: pa.Array | list[bytes]) -> list[np.ndarray]:
+        """Ids of each text and END after them, as unsigned 16-bit numbers. Only the different words of the texts are looked up."""
         if len(self.known) > REMEMBERED // 2:
             self.older, self.known = self.known, {}
-        split = [raw.split() for raw in raws]
-        found = [list(map(self.known.get, words)) for words in split]
-        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
-        new = {words[i] for words, at in zip(split, gaps, strict=True) for i in at}
-        again = self.older.keys() & new if new and self.older else ()
-        self.known.update((w, self.older[w]) for w in again)
-        new.difference_update(again)
+        self.known[b""] = b""  # beside white space at a text's ends
+        texts = raws if isinstance(raws, pa.Array) else pa.array(raws, pa.binary())
+        split = pc.ascii_split_whitespace(texts.view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.view(pa.binary()))
+        words = pc.binary_join(one, b"\n")[0].as_py().split(b"\n") if len(coded) else []
+        found = list(map(self.known.get, words))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for w in map(words.__getitem__, gaps):
+            if w in self.older:
+                self.known[w] = self.older[w]
+            else:
+                new.append(w)
         if new:
-            self._learn(list(new))
-        end = np.uint16(END).tobytes()
-        for words, ids, at in zip(split, found, gaps, strict=True):
-            for i in at:
-                ids[i] = self.known[words[i]]
-            ids.append(end)
-        return [np.frombuffer(b"".join(x), "<u2") for x in found]
+            self._learn(new)
+        for i in gaps:
+            found[i] = self.known[words[i]]
+        joined = pa.array(found, pa.binary()).take(coded.indices)
+        _, ends, data = joined.buffers()
+        cuts = (np.frombuffer(ends, np.int32)[split.offsets.to_numpy()] // 2 if len(joined) else np.zeros(len(texts) + 1, int)).tolist()
+        ids = np.frombuffer(data or b"", "<u2")
+        end = np.array([END], "<u2")
+        return [np.concatenate([ids[i:j], end]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _gathered(batches: Iterable[pa.RecordBatch], least: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches joined to ``least`` bytes: the more texts at once, the fewer different words each of them has."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _tokens(path: str) -> Callable:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizers.get(path) or _tokenizers.setdefault(path, WordIds(path))
-        for b in slices(batches, 1):
-            ids = coder.ids(b.column(1).cast(pa.binary()).to_pylist())
+        for b in slices(_gathered(batches), 1, BATCH_BYTES):
+            ids = coder.ids(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "row_key", "ids", "n"])
 
     return task
