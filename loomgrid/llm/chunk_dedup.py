@@ -3,8 +3,8 @@
 A byte ends a chunk when the top bits of the gear hash over the last 32 bytes are
 zero (and the chunk has MIN_CHUNK bytes), or at MAX_CHUNK bytes. The cut points
 depend on content, so an insertion moves only the cuts near it. Chunks are
-compared by 128-bit digests; an occurrence after the first is a duplicate, and
-runs of duplicates of at least ``min_run`` bytes are removed.
+compared by 128-bit digests; an occurrence after the first is a duplicate and is
+removed. ``min_run`` leaves runs of duplicates below that many bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from loomgrid.llm.common import documents, lookup, slices, small_batches, table, with_texts
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 32, 512, 5
-MIN_RUN = 100
 
 
 def _gear() -> np.ndarray:
@@ -114,8 +113,8 @@ def _without(raw: bytes, edges: list[int], places: list[int], min_run: int) -> t
     return b"".join([*left, raw[at:]]), sum(j - i for i, j in runs), len(runs)
 
 
-def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """Remove runs of at least ``min_run`` bytes of chunks seen before.
+def chunk_dedup(docs: DataFrame, min_run: int = 0) -> DataFrame:
+    """Remove chunks seen before, in runs of at least ``min_run`` bytes.
 
     Returns per row of ``docs``: doc_id, kept (bytes left), n_removed, n_spans,
     n_bytes, n_chunks, n_duplicates. Of equal chunks the first by (doc_id, place

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -131,22 +132,41 @@ def test_chunks(docs, texts, nothing):
     for i, x in enumerate(CH.gear_hashes(data)):
         h = ((h << 1) + int(CH.GEAR[data[i]])) % 2**32
         assert h == x
-    first, want = set(), []
     order = sorted(set(texts), key=lambda r: (r[0] is not None, r[0] or 0, _xx(docs, r[1])))
-    answers = {}
-    for i, t in order:
-        raw = (t or "").encode()
-        ends, keys = CH.chunks(raw)
-        places = []
-        for p, k in enumerate(map(tuple, keys.tolist())):
-            if k in first:
-                places.append(p)
-            first.add(k)
-        answers[i, t] = CH._without(raw, [0, *ends], places, CH.MIN_RUN)
-    want = sorted((str(i), answers[i, t][0], answers[i, t][1]) for i, t in texts)
-    got = CH.chunk_dedup(docs).collect()
-    assert sorted((str(r.doc_id), bytes(r.kept), r.n_removed) for r in got) == want
-    assert {r.doc_id for r in got if r.n_removed} >= set(range(54, 61)) and CH.chunk_dedup(nothing).count() == 0
+    for least in (0, 100):
+        seen, want = set(), {}
+        for i, t in order:
+            parts = plain_chunks((t or "").encode())
+            fresh = []
+            for part in parts:
+                fresh.append(part not in seen)
+                seen.add(part)
+            runs = [(new, b"".join(p for _, p in run)) for new, run in itertools.groupby(zip(fresh, parts, strict=True), lambda x: x[0])]
+            gone = [not new and len(run) >= least for new, run in runs]
+            kept = b"".join(run for (_, run), out in zip(runs, gone, strict=True) if not out)
+            want[i, t] = str(i), kept, len((t or "").encode()) - len(kept), sum(gone), len(parts), fresh.count(False)
+        got = (CH.chunk_dedup(docs, least) if least else CH.chunk_dedup(docs)).collect()
+        assert sorted((str(r.doc_id), bytes(r.kept), r.n_removed, r.n_spans, r.n_chunks, r.n_duplicates) for r in got) == sorted(want[i, t] for i, t in texts)
+        assert {r.doc_id for r in got if r.n_removed} >= set(range(54, 61))
+    assert CH.chunk_dedup(nothing).count() == 0
+
+
+def plain_chunks(raw):
+    """Chunks byte by byte: a chunk of 32 bytes or more ends where the top five bits of the rolling hash are 0, or at 512 bytes."""
+    words = []
+    for k in range(1, 257):
+        z = k * 0x9E3779B97F4A7C15 % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        words.append(z >> 32)
+    out, part, h = [], bytearray(), 0
+    for x in raw:
+        h = (2 * h + words[x]) % 2**32
+        part.append(x)
+        if len(part) == 512 or (len(part) >= 32 and h < 2**27):
+            out.append(bytes(part))
+            part = bytearray()
+    return [*out, bytes(part)] if part else out
 
 
 def _xx(docs, text):
