@@ -252,8 +252,7 @@ def draws(idf: np.ndarray) -> np.ndarray:
 
 def place(doc: np.ndarray, row: int, drawn: np.ndarray) -> bytes:
     """Place of a document among all: its MinHashes, then a hash of the row so that no group of equals is too large for a shard."""
-    terms = np.unique(doc)
-    return terms[drawn[:, terms].argmin(axis=1)].astype(">u2").tobytes() + (row & (2**64 - 1)).to_bytes(8, "big")
+    return doc[np.take(drawn, doc, axis=1).argmin(axis=1)].astype(">u2").tobytes() + (row & (2**64 - 1)).to_bytes(8, "big")
 
 
 def bounds(places: list[tuple[bytes, int]], n_shards: int) -> list[bytes]:
