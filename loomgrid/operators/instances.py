@@ -249,6 +249,6 @@ def mask_polygons(px: DataFrame, class_value: int = 1, transform: tuple = (1, 0,
 
 
 def largest_part(parts: DataFrame, by: str, part: str, ring: str = "ring") -> DataFrame:
-    """Of the parts of each multi-part polygon the one with the largest ring, the least ``part`` among equals."""
-    best = F.max_by(F.struct(*[c for c in parts.columns if c != by]), F.struct(ring_area(ring), -F.col(part)))
+    """Of the parts of each multi-part polygon the one with the largest ring, the least ``part`` among those whose areas agree to six places."""
+    best = F.max_by(F.struct(*[c for c in parts.columns if c != by]), F.struct(F.round(ring_area(ring), 6), -F.col(part)))
     return parts.groupBy(by).agg(best.alias("_best")).select(by, "_best.*")
