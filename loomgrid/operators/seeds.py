@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.operators.spatial import checkpointed, suppress_close
+from loomgrid.operators.spatial import checkpointed, shuffled, suppress_close
 
 
 def _axis(over: str, along: str, scene: str, reach: int = 1):
@@ -87,22 +87,22 @@ def components(px: DataFrame, connectivity: int = 2, scene: str = "scene", keys:
     below = spans.select(scene, (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("id").alias("b"))
     # Runs of adjacent rows meet through the columns they cover, in blocks of 64.
     block = lambda a, b: F.explode(F.sequence(F.floor(a / 64), F.floor(b / 64)))
-    e = spans.withColumn("k", block(F.col("c0") - reach, F.col("c1") + reach)).join(below.withColumn("k", block(F.col("d0"), F.col("d1"))), [scene, "row", "k"])
+    e = spans.withColumn("k", block(F.col("c0") - reach, F.col("c1") + reach)).join(shuffled(below.withColumn("k", block(F.col("d0"), F.col("d1")))), [scene, "row", "k"])
     e = e.filter((F.col("c0") - reach <= F.col("d1")) & (F.col("d0") <= F.col("c1") + reach)).select(scene, F.col("id").alias("a"), "b").distinct()
     e = checkpointed(e.unionAll(e.select(scene, F.col("b").alias("a"), F.col("a").alias("b"))))
     label = checkpointed(spans.select(scene, "id", F.col("id").alias("comp")))
     for _ in range(rounds):
-        near = e.join(label.select(scene, F.col("id").alias("b"), "comp"), [scene, "b"]).groupBy(scene, F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        new = label.join(near, [scene, "id"], "left").select(scene, "id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        near = e.join(shuffled(label.select(scene, F.col("id").alias("b"), "comp")), [scene, "b"]).groupBy(scene, F.col("a").alias("id")).agg(F.min("comp").alias("m"))
+        new = label.join(shuffled(near), [scene, "id"], "left").select(scene, "id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         up = label.select(scene, F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = checkpointed(new.join(up, [scene, "comp"], "left").select(scene, "id", "old", F.least("comp", "up").alias("comp")))
+        new = checkpointed(new.join(shuffled(up), [scene, "comp"], "left").select(scene, "id", "old", F.least("comp", "up").alias("comp")))
         if new.filter("old <> comp").isEmpty():
             break
         label = new.drop("old")
     else:
         raise RuntimeError("components aren't settled")
-    named = spans.join(label, [scene, "id"]).select(scene, "row", "_r", "comp")
-    return runs.join(named, [scene, "row", "_r"]).drop("_b", "_r")
+    named = spans.join(shuffled(label), [scene, "id"]).select(scene, "row", "_r", "comp")
+    return runs.join(shuffled(named), [scene, "row", "_r"]).drop("_b", "_r")
 
 
 def plateau_seeds(peaks: DataFrame, scene: str = "scene") -> DataFrame:
@@ -114,9 +114,9 @@ def plateau_seeds(peaks: DataFrame, scene: str = "scene") -> DataFrame:
     comp = checkpointed(components(peaks, 2, scene))
     centre = comp.groupBy(scene, "comp").agg(F.rint(F.avg("row")).cast("int").alias("cr"), F.rint(F.avg("col")).cast("int").alias("cc"))
     on_peak = comp.select(scene, F.col("row").alias("cr"), F.col("col").alias("cc"), F.lit(True).alias("on"))
-    centre = centre.join(on_peak, [scene, "cr", "cc"], "left")
+    centre = centre.join(shuffled(on_peak), [scene, "cr", "cc"], "left")
     d = F.abs(F.col("row") - F.col("cr")) + F.abs(F.col("col") - F.col("cc"))
-    snapped = comp.join(centre.filter("on is null"), [scene, "comp"]).groupBy(scene, "comp").agg(F.min(F.struct(d.alias("d"), F.col("row"), F.col("col"))).alias("m"))
+    snapped = comp.join(shuffled(centre.filter("on is null")), [scene, "comp"]).groupBy(scene, "comp").agg(F.min(F.struct(d.alias("d"), F.col("row"), F.col("col"))).alias("m"))
     kept = centre.filter("on").select(scene, "comp", F.col("cr").alias("row"), F.col("cc").alias("col"))
     return kept.unionAll(snapped.select(scene, "comp", "m.row", "m.col"))
 

@@ -26,6 +26,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Joined by shuffle and sort. Spark's estimates don't see what explode adds, also through a checkpoint, so it would broadcast large tables from the driver."""
+    return df.hint("merge")
+
+
 def _cells(df: DataFrame, size: float) -> DataFrame:
     """A row for each cell that the box x0, y0, x1, y1 touches."""
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
