@@ -123,15 +123,21 @@ def shared_area(a: np.ndarray, b: np.ndarray) -> float:
     met = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
     x = np.unique(np.concatenate([a[:, 0], b[:, 0], (p[..., 0] + np.where(met, t, 0) * d[..., 0])[met]]))
     x = x[(x >= low) & (x <= high)]
-    total = 0.0
-    for left, right in zip(x[:-1], x[1:], strict=True):
-        middle, inside = (left + right) / 2, []
+    total, step = 0.0, max(1, 1_000_000 // (len(a) + len(b)))  # slabs at once
+    for k in range(0, len(x) - 1, step):
+        cuts = x[k : k + step + 1]
+        middle, inside = (cuts[:-1] + cuts[1:]) / 2, []
         for ring in (a, b):
             (x0, y0), (x1, y1) = ring[:-1].T, ring[1:].T
-            on = (x0 < middle) != (x1 < middle)
-            inside.append(np.sort(y0[on] + (middle - x0[on]) / (x1[on] - x0[on]) * (y1[on] - y0[on])).reshape(-1, 2))
-        common = np.minimum(inside[0][:, None, 1], inside[1][None, :, 1]) - np.maximum(inside[0][:, None, 0], inside[1][None, :, 0])
-        total += (right - left) * common[common > 0].sum()
+            on = (x0 < middle[:, None]) != (x1 < middle[:, None])
+            y = np.full(on.shape, np.inf)
+            slab, edge = np.nonzero(on)
+            y[on] = y0[edge] + (middle[slab] - x0[edge]) / (x1[edge] - x0[edge]) * (y1[edge] - y0[edge])
+            y.sort(axis=1)
+            inside.append(y[:, : on.sum(axis=1).max()].reshape(len(middle), -1, 2))
+        top, bottom = (pick(inside[0][:, :, None, i], inside[1][:, None, :, i]) for pick, i in ((np.minimum, 1), (np.maximum, 0)))
+        common = np.subtract(top, bottom, out=np.zeros_like(top), where=top > bottom).sum(axis=(1, 2))
+        total += ((cuts[1:] - cuts[:-1]) * common).sum()
     return float(total)
 
 

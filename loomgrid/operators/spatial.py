@@ -67,20 +67,20 @@ def greedy_survivors(rows: DataFrame, pairs: DataFrame, score: str, rounds: int
     strength = rows.select(node("id").alias("id"), F.struct(F.col(score).alias("s"), (-F.col("id")).alias("i")).alias("s"))
     pairs = pairs.select(node("a").alias("a"), node("b").alias("b"))
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    e = both.join(strength.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(strength.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    e = both.join(shuffled(strength.select(F.col("id").alias("a"), F.col("s").alias("sa"))), "a").join(shuffled(strength.select(F.col("id").alias("b"), F.col("s").alias("sb"))), "b")
     # Edges lead from the stronger to the weaker one.
     e = checkpointed(e.filter("sa > sb").select("a", "b"))
     dropped = None
     for _ in range(rounds):
-        weaker = e.select("b").distinct()
+        weaker = shuffled(e.select("b").distinct())
         tops = e.select("a").distinct().join(weaker, F.col("a") == F.col("b"), "left_anti")
-        hit = e.join(tops, "a", "left_semi").select("b").distinct()
+        hit = e.join(shuffled(tops), "a", "left_semi").select("b").distinct()
         hit = checkpointed(hit)
         if hit.isEmpty():
             break
         dropped = hit if dropped is None else dropped.unionAll(hit)
-        gone = hit.withColumnRenamed("b", "x")
-        e = e.join(tops.withColumnRenamed("a", "x"), F.col("a") == F.col("x"), "left_anti").join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti")
+        gone = shuffled(hit.withColumnRenamed("b", "x"))
+        e = e.join(shuffled(tops.withColumnRenamed("a", "x")), F.col("a") == F.col("x"), "left_anti").join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti")
         e = checkpointed(e)
     else:
         raise RuntimeError(f"suppression isn't settled after {rounds} rounds")
@@ -90,7 +90,7 @@ def greedy_survivors(rows: DataFrame, pairs: DataFrame, score: str, rounds: int
     on = F.col("id") == F.col("_id")
     for c in by:
         on &= F.col(c) == F.col(f"_{c}")
-    return rows.join(gone, on, "left_anti")
+    return rows.join(shuffled(gone), on, "left_anti")
 
 
 def suppress_close(seeds: DataFrame, radius: float, score: str = "strength", by: tuple = ()) -> DataFrame:
@@ -107,11 +107,14 @@ def deduplicate_boxes(crowns: DataFrame, iou: float, size: float, score: str = "
 def deduplicate_rings(crowns: DataFrame, iou: float, size: float, score: str = "score", by: tuple = ()) -> DataFrame:
     """Crowns (id, ring, x0, y0, x1, y1, score) left after better ones suppress those whose rings' IoU is at least ``iou``.
 
-    Boxes give the candidates, the rings' true common area decides.
+    Boxes give the candidates, the rings' true common area decides. Rings join the pairs found, so that they aren't copied into every cell.
     """
-    pairs = box_pairs(crowns, crowns, size, by).filter(F.col("a.id") < F.col("b.id"))
+    boxes = shuffled(crowns.select(*by, "id", "x0", "y0", "x1", "y1"))
+    pairs = box_pairs(boxes, boxes, size, by).filter(F.col("a.id") < F.col("b.id"))
     shared = F.col("shared")
-    sides = pairs.select(*by, F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.ring").alias("ring_a"), F.col("b.ring").alias("ring_b"))
+    sides = pairs.select(*by, F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    for side in ("a", "b"):
+        sides = sides.join(shuffled(crowns.select(*by, F.col("id").alias(f"id_{side}"), F.col("ring").alias(f"ring_{side}"))), [*by, f"id_{side}"])
     met = sides.withColumns({"shared": common_area("ring_a", "ring_b"), "both": ring_area("ring_a") + ring_area("ring_b")})
     close = met.filter(F.when(F.col("both") > shared, shared / (F.col("both") - shared)).otherwise(0.0) >= iou)
     return greedy_survivors(crowns, close.select(*by, F.col("id_a").alias("a"), F.col("id_b").alias("b")), score, by=by)
