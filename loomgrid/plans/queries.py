@@ -418,7 +418,8 @@ def a1(v):
 
 @query("a2_decide", _BLEND + " SELECT row, col, CAST(arg_max(cls, round(p, 9) * 10 - cls * 1e-9::DOUBLE) AS INT) AS cls, round(max(p), 9) AS p FROM bl GROUP BY row, col", "px")
 def a2(v):
-    return P.decide(P.blend(_scored(v), 8, 2)).withColumn("p", F.round("p", 9))
+    # Probabilities that agree to nine places tie, as the SQL has it.
+    return P.decide(P.blend(_scored(v), 8, 2).withColumn("p", F.round("p", 9)))
 
 
 _INST = ", i AS (SELECT 's' AS scene, row, col, CAST(row // 4 * 13 + col // 4 + 1 AS INT) AS inst, p FROM px WHERE palm)"

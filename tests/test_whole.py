@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomgrid.plans.queries import QUERIES
+from loomgrid.plans.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,15 @@ def test_integrity_check(spark):
     got = integrity_check(images, masks, spark.createDataFrame(tiles, "tile_id long, split string, x0 double, y0 double, x1 double, y1 double"), 2.0)
     want = {("train", None, "image without mask", 1), ("val", None, "mask without image", 2), ("test", None, "mask without image", 1), ("train", "val", "overlap", 2), ("train", "test", "overlap", 1)}
     assert {tuple(r) for r in got.collect()} == want and got.count() == 5
+
+
+def test_decide_ties(spark, tmp_path):
+    import duckdb
+
+    prices = [250000.0001, 250000.01, 249999.99, 250000.0, 249999.9999]
+    spark.createDataFrame([(2 + k, "O", x) for k, x in enumerate(prices)], "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in QUERIES["a2_decide"](spark, str(tmp_path)).select("row", "col", "cls", "p").collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(c.execute(f"SELECT row, col, cls, p FROM ({ORACLES['a2_decide']})").fetchall())
+    assert got == want and [r[2] for r in got] == [0, 1, 0, 0, 0]
