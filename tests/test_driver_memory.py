@@ -49,3 +49,8 @@ def test_scene_dedup(spark, plans, parts):
     # Of the two discs k and k + 50 of an even pair the better one stays, of equals the first.
     want = {k for k in range(400) if k // 100 % 2 == 1 or k == min((k // 100 * 100 + k % 50, k // 100 * 100 + k % 50 + 50), key=lambda i: (-score(i), i))}
     assert {r.id for r in got} == want and len(got) == len(want)
+
+
+def test_block_polygons(spark, plans, parts):
+    got = check(spark, plans, parts, "a8_block_polygons")
+    assert sorted(int(r.scene) for r in got) == list(range(1, 401)) and {r.corners for r in got} == {5}
