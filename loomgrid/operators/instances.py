@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,55 +202,113 @@ def simplify(rows: DataFrame, tolerance: float, ring: str = "ring") -> DataFrame
 POLYGON = "scene string, comp long, area double, ring array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>"
 
 
+def run_rings(part: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Closed rings of pixel edges around each part's runs of pixels (set pixels to the right of the direction), many parts at once.
+
+    A run covers columns c0 to c1 of a row; a part's runs are disjoint. Returns x and y of the rings' corners one ring after the other,
+    where each ring begins (and the last one ends), and its part. A part's rings lie together, the outer one first, then holes in raster order.
+    Where a part's pixels share only a corner, rings turn right, which keeps 4-connected parts apart.
+    """
+    n = len(row)
+    # Each run has an edge up at its left and one down at its right; an end that doesn't go on straight is a corner.
+    k = np.concatenate([part] * 4).astype(np.int64)
+    x = np.concatenate([c0, c1 + 1] * 2).astype(np.int64)
+    y = np.concatenate([row, row, row + 1, row + 1]).astype(np.int64)
+    up = np.tile(np.repeat([True, False], n), 2)
+    above = np.repeat([False, True], 2 * n)  # the edge lies above this end
+    order = np.lexsort((up, x, y, k))  # of two corners at a place, the one whose horizontal edge goes left comes first
+    k, x, y, up, above = k[order], x[order], y[order], up[order], above[order]
+    on = (k[1:] == k[:-1]) & (y[1:] == y[:-1]) & (x[1:] == x[:-1]) & (up[1:] == up[:-1])
+    corner = ~(np.append(on, False) | np.append(False, on))[: len(k)]
+    k, x, y, up, above = k[corner], x[corner], y[corner], up[corner], above[corner]
+    # Along a line corners pair up: by horizontal edges in this order, by vertical ones in that of the columns.
+    here = np.arange(len(k))
+    by_column = np.lexsort((~above, y, x, k))
+    below = np.empty_like(here)
+    below[by_column] = by_column[here ^ 1]
+    after = np.where(up != above, here ^ 1, below).tolist()
+    at, begins = [], []
+    seen = bytearray(len(after))
+    for start in range(len(after)):
+        if not seen[start]:
+            begins.append(len(at))
+            i = start
+            while not seen[i]:
+                seen[i] = 1
+                at.append(i)
+                i = after[i]
+            at.append(start)
+    at, begins = np.array(at, np.int64), np.array([*begins, len(at)], np.int64)
+    return x[at], y[at], begins, k[at[begins[:-1]]]
+
+
 def edge_rings(mask: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Closed rings of pixel edges around a mask (set pixels to the right of the direction); the outer one first."""
-    m = np.pad(mask.astype(bool), 1)
-    nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for (dr, dc), (a, b) in (((-1, 0), ((0, 0), (1, 0))), ((0, 1), ((1, 0), (1, 1))), ((1, 0), ((1, 1), (0, 1))), ((0, -1), ((0, 1), (0, 0)))):
-        for r, c in zip(*np.nonzero(m & ~np.roll(m, (-dr, -dc), (0, 1))), strict=True):
-            nxt.setdefault((c - 1 + a[0], r - 1 + a[1]), []).append((c - 1 + b[0], r - 1 + b[1]))
-    rings = []
-    while nxt:
-        start = min(nxt, key=lambda q: (q[1], q[0]))
-        ring, at, came = [start], start, None
-        while True:
-            options = nxt[at]
-            if came and len(options) > 1:  # a corner that two pixels share: turn right, which keeps 4-connected parts apart
-                turn = lambda q: (came[0] * (q[1] - at[1]) - came[1] * (q[0] - at[0]))  # noqa: E731, B023
-                to = max(options, key=turn)
-            else:
-                to = options[0]
-            options.remove(to)
-            if not options:
-                del nxt[at]
-            came, at = (to[0] - at[0], to[1] - at[1]), to
-            if at == start:
-                break
-            ring.append(at)
-        keep = [q for i, q in enumerate(ring) if (q[0] - ring[i - 1][0]) * (ring[(i + 1) % len(ring)][1] - q[1]) != (q[1] - ring[i - 1][1]) * (ring[(i + 1) % len(ring)][0] - q[0])]
-        rings.append([*keep, keep[0]])
-    return sorted(rings, key=lambda r: min((y, x) for x, y in r))
+    """Rings of a mask's pixel edges, see run_rings, as lists of corners (x, y)."""
+    step = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, c0), c1 = np.nonzero(step == 1), np.nonzero(step == -1)[1] - 1
+    x, y, at, _ = run_rings(np.zeros_like(row), row, c0, c1)
+    return [list(zip(x[i:j].tolist(), y[i:j].tolist(), strict=True)) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _polygons(runs: pa.RecordBatch, starts: np.ndarray, simplify_px: float) -> pa.RecordBatch:
+    """Rows of POLYGON of whole components, whose runs lie together and begin at ``starts``."""
+    row, c0, c1 = (runs[c].to_numpy().astype(np.int64) for c in ("row", "c0", "c1"))
+    part = np.zeros(len(row), np.int64)
+    part[starts[1:]] = 1
+    x, y, at, of = run_rings(np.cumsum(part), row, c0, c1)
+    if simplify_px > 0:
+        rings = [simplify_ring(np.column_stack([x[i : j - 1], y[i : j - 1]]).astype(float), simplify_px) for i, j in zip(at[:-1], at[1:], strict=True)]
+        x, y = np.concatenate([np.vstack([r, r[:1]]) for r in rings]).T
+        at = np.cumsum([0, *(len(r) + 1 for r in rings)])
+    points = pa.StructArray.from_arrays([pa.array(x.astype(float)), pa.array(y.astype(float))], ["x", "y"])
+    ring = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), points)
+    outer = np.append(True, of[1:] != of[:-1])
+    holes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of[~outer], minlength=len(starts)))).astype(np.int32)), ring.filter(pa.array(~outer)))
+    area = pa.array(np.add.reduceat(c1 - c0 + 1, starts).astype(float))
+    first = pa.array(starts)
+    return pa.RecordBatch.from_arrays([runs["scene"].take(first), runs["comp"].take(first), area, ring.filter(pa.array(outer)), holes], ["scene", "comp", "area", "ring", "holes"])
 
 
 def mask_polygons(px: DataFrame, class_value: int = 1, transform: tuple = (1, 0, 0, 0, 1, 0), simplify_px: float = 0.0) -> DataFrame:
-    """One polygon with holes for each 4-connected component of a class, along pixel edges: scene, comp, area (pixels), ring, holes."""
-    from loomgrid.operators.seeds import components
+    """One polygon with holes for each 4-connected component of a class, along pixel edges: scene, comp, area (pixels), ring, holes.
 
-    comp = components(px.filter(F.col("cls") == class_value).select("scene", "row", "col"), 1)
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        mask, r0, c0 = to_array(part.assign(_m=True), "_m", False)
-        rings = [[(x + c0, y + r0) for x, y in r] for r in edge_rings(mask)]
-        if simplify_px > 0:
-            rings = [simplify_ring(np.array(r[:-1], float), simplify_px).tolist() for r in rings]
-            rings = [[*r, r[0]] for r in rings]
-        rings = [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
-        return pd.DataFrame({"scene": [part["scene"].iloc[0]], "comp": [part["comp"].iloc[0]], "area": [float(len(part))], "ring": [rings[0]], "holes": [rings[1:]]})
-
-    out = comp.groupBy("scene", "comp").applyInPandas(one, POLYGON)
+    Components come to Python as runs of pixels, those of a batch together; one component is a task's work.
+    """
+    from loomgrid.operators.seeds import component_runs
+
+    runs = component_runs(px.filter(F.col("cls") == class_value).select("scene", "row", "col"), 1).select("scene", "comp", "row", "c0", "c1")
+
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # the last component's runs; it may go on in the next batch
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            runs = pa.concat_batches(held)
+            starts = np.flatnonzero(np.append(True, _differs(runs)))
+            yield _polygons(runs, starts, simplify_px)
+
+        for batch in filter(len, batches):
+            new = np.flatnonzero(_differs(pa.concat_batches([held[-1].slice(len(held[-1]) - 1), batch]) if held else batch))
+            if len(new):
+                end = int(new[-1]) + (not held)
+                held.append(batch.slice(0, end))
+                yield from whole()
+                held = []
+                batch = batch.slice(end)
+            held.append(batch)
+        if held:
+            yield from whole()
+
+    out = runs.repartition("scene", "comp").sortWithinPartitions("scene", "comp").mapInArrow(traced, POLYGON)
     return out.withColumn("ring", transform_ring("ring", transform)).withColumn("holes", F.transform("holes", lambda h: transform_ring(h, transform)))
 
 
+def _differs(runs: pa.RecordBatch) -> np.ndarray:
+    """Whether each run but the first is of another component than the one before."""
+    n = len(runs) - 1
+    scene, comp = runs["scene"], runs["comp"].to_numpy()
+    return pc.not_equal(scene.slice(1), scene.slice(0, n)).to_numpy(zero_copy_only=False) | (comp[1:] != comp[:-1])
+
+
 def largest_part(parts: DataFrame, by: str, part: str, ring: str = "ring") -> DataFrame:
     """Of the parts of each multi-part polygon the one with the largest ring, the least ``part`` among those whose areas agree to six places."""
     best = F.max_by(F.struct(*[c for c in parts.columns if c != by]), F.struct(F.round(ring_area(ring), 6), -F.col(part)))

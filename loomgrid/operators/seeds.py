@@ -71,17 +71,21 @@ def blur(px: DataFrame, size: int, p: str = "p", scene: str = "scene") -> DataFr
     return px
 
 
-def components(px: DataFrame, connectivity: int = 2, scene: str = "scene", keys: tuple = ("row", "col"), rounds: int = 200) -> DataFrame:
-    """Adds ``comp``, the smallest pixel number of each connected component of the given pixels.
+def _runs(px: DataFrame, scene: str) -> DataFrame:
+    """Adds ``_r``, the place among its row's runs of the run of adjacent pixels that a pixel lies in; a pixel given twice lies in one run."""
+    w = Window.partitionBy(scene, "row").orderBy("col")
+    breaks = F.when(F.col("col") - F.lag("col").over(w) <= 1, 0).otherwise(1)
+    return px.withColumn("_b", breaks).withColumn("_r", F.sum("_b").over(w))
+
+
+def component_runs(px: DataFrame, connectivity: int = 2, scene: str = "scene", rounds: int = 200) -> DataFrame:
+    """Runs of adjacent pixels in a row (row, columns c0 to c1, their place _r in the row) with ``comp``, as components gives it.
 
     Runs of pixels in a row are joined first; then the smallest number spreads between touching runs, and
     each run jumps to its number's own number, so that long components settle in few rounds.
     """
-    w = Window.partitionBy(scene, "row").orderBy("col")
-    number = F.col("row").cast("long") * (1 << 31) + F.col("col")
-    breaks = F.when(F.col("col") - F.lag("col").over(w) == 1, 0).otherwise(1)
-    runs = px.withColumn("_b", breaks).withColumn("_r", F.sum("_b").over(w))
-    spans = runs.groupBy(scene, "row", "_r").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min(number).alias("id"))
+    number = F.col("row").cast("long") * (1 << 31) + F.col("c0")
+    spans = _runs(px, scene).groupBy(scene, "row", "_r").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).withColumn("id", number)
     spans = checkpointed(spans)
     reach = 1 if connectivity == 2 else 0
     below = spans.select(scene, (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("id").alias("b"))
@@ -101,8 +105,13 @@ def components(px: DataFrame, connectivity: int = 2, scene: str = "scene", keys:
         label = new.drop("old")
     else:
         raise RuntimeError("components aren't settled")
-    named = spans.join(shuffled(label), [scene, "id"]).select(scene, "row", "_r", "comp")
-    return runs.join(shuffled(named), [scene, "row", "_r"]).drop("_b", "_r")
+    return spans.join(shuffled(label), [scene, "id"]).select(scene, "row", "_r", "c0", "c1", "comp")
+
+
+def components(px: DataFrame, connectivity: int = 2, scene: str = "scene", keys: tuple = ("row", "col"), rounds: int = 200) -> DataFrame:
+    """Adds ``comp``, the smallest pixel number of each connected component of the given pixels."""
+    named = component_runs(px, connectivity, scene, rounds).select(scene, "row", "_r", "comp")
+    return _runs(px, scene).join(shuffled(named), [scene, "row", "_r"]).drop("_b", "_r")
 
 
 def plateau_seeds(peaks: DataFrame, scene: str = "scene") -> DataFrame:

@@ -137,6 +137,55 @@ def test_kernels():
     assert len(I.simplify_ring(line, 0.5)) == 4
 
 
+def filled(rings):
+    """Pixels (row, col) within an odd number of rings along pixel edges."""
+    out = set()
+    for ring in rings:
+        assert ring[0] == ring[-1]
+        for (x, y), (x2, y2) in zip(ring, ring[1:], strict=False):
+            assert (x == x2) != (y == y2)
+            if x == x2:
+                out ^= {(r, c) for r in range(int(min(y, y2)), int(max(y, y2))) for c in range(int(x), 40)}
+    return out
+
+
+def test_mask_polygons_trace_many_components_at_once(spark):
+    rng = np.random.default_rng(11)
+    masks = {f"s{k}": rng.random((26, 31)) < p for k, p in enumerate((0.35, 0.6, 0.7, 0.8))}
+    px = [(s, int(r), int(c), 1) for s, m in masks.items() for r, c in zip(*np.nonzero(m), strict=True)]
+    rows = spark.createDataFrame(px + px[:3], "scene string, row int, col int, cls int")  # three pixels come twice
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(records)
+    spark.conf.set(records, 7)  # components go on from batch to batch
+    try:
+        out = I.mask_polygons(rows)
+        got = out.collect()
+    finally:
+        spark.conf.set(records, before)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan  # no Python call for each component
+    parts = {}
+    for r in got:
+        outer, holes = [tuple(q) for q in r.ring], [[tuple(q) for q in h] for h in r.holes]
+        pixels = filled([outer, *holes])
+        assert pixels <= filled([outer]) and len(pixels) == r.area and min(pixels) == divmod(r.comp, 1 << 31)
+        m = np.zeros((28, 33), bool)
+        m[tuple(np.array(sorted(pixels)).T + 1)] = True
+        assert len(holes) == len(I.parts_of(~m)) - 1  # what isn't set meets at corners, too
+        parts.setdefault(r.scene, []).append(pixels)
+    assert max(len(q) for q in parts["s3"]) > 500 and any(len(r.holes) > 20 for r in got)
+    for s, m in masks.items():
+        owner = {q: k for k, pixels in enumerate(parts[s]) for q in pixels}
+        assert len(owner) == sum(map(len, parts[s])) and set(owner) == set(zip(*(v.tolist() for v in np.nonzero(m)), strict=True))
+        assert all(owner.get((r + i, c + j), k) == k for (r, c), k in owner.items() for i, j in ((0, 1), (1, 0)))
+    assert I.edge_rings(np.zeros((3, 3), bool)) == []
+    simple = {(r.scene, r.comp): r for r in I.mask_polygons(rows, 1, (2, 0, 10, 0, -2, 5), 0.1).collect()}
+    assert len(simple) == len(got)
+    for r in got:
+        at = simple[r.scene, r.comp]
+        assert [(q.x, q.y) for q in at.ring] == [(2 * q.x + 10, 5 - 2 * q.y) for q in r.ring] and len(at.holes) == len(r.holes)
+
+
 def test_segment_equals_the_score_and_skips_nodata(spark):
     px = RA.grid(spark, 0, 0, 40, 40).withColumn("value", F.when((F.col("row") < 8) & (F.col("col") < 8), 0.0).otherwise(1.0)).withColumn("valid", F.col("value") > 0)
 
