@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import documents, small_batches, table
+from loomgrid.llm.common import documents, small_batches, table, tidy
 from loomgrid.llm.words import ALNUM, Words
 
 WINDOW = 13
@@ -272,7 +272,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     found = None
     for ids, texts in _blocks(benchmark):
         tests = spark.sparkContext.broadcast(Tests(ids, texts, window))
-        part = docs.select("doc_id", "text", "row_key").mapInArrow(_hits(tests, SHARD), HITS)
+        part = docs.select("doc_id", "text", "row_key").mapInArrow(tidy(_hits(tests, SHARD)), HITS)
         found = part if found is None else _both(found, table(part, "leak-block"))
     return found.withColumn("items", F.array_sort(F.array_distinct("items")))
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import documents, lookup, slices, small_batches, table
+from loomgrid.llm.common import documents, lookup, slices, small_batches, table, tidy
 
 #: Fixed value: the white space that normalisation deletes.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -131,7 +131,7 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (hash of the text), n_points (code points of the original text), digest (32 bytes); null text counts as empty."""
     small_batches(docs.sparkSession)
-    return documents(docs).mapInArrow(_digests, "doc_id long, row_key long, n_points long, digest binary")
+    return documents(docs).mapInArrow(tidy(_digests), "doc_id long, row_key long, n_points long, digest binary")
 
 
 def _better(a: tuple, b: tuple) -> tuple:
@@ -174,9 +174,9 @@ def groups(rows: DataFrame, n_rows: int) -> DataFrame:
     Indexed twice: within each map task, so that a digest leaves it once however
     many rows share it, and within each shard of the digest space.
     """
-    entries = rows.select("digest", "n_points", "doc_id", "row_key", F.lit(1).cast("long").alias("size")).mapInArrow(_fold(SHARD), ENTRY)
+    entries = rows.select("digest", "n_points", "doc_id", "row_key", F.lit(1).cast("long").alias("size")).mapInArrow(tidy(_fold(SHARD)), ENTRY)
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(max(least, -(-n_rows // SHARD)), F.col("digest")).mapInArrow(_fold(), ENTRY)
+    return entries.repartition(max(least, -(-n_rows // SHARD)), F.col("digest")).mapInArrow(tidy(_fold()), ENTRY)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

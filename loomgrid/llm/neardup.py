@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import documents, lookup, slices, small_batches, table
+from loomgrid.llm.common import documents, lookup, slices, small_batches, table, tidy
 from loomgrid.llm.words import NOT_SPACE, Words, mix
 
 SHINGLE = 5
@@ -121,7 +121,7 @@ def _signed(n_chunks: int) -> str:
 def signatures(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, set fingerprint (f1, f2), the chunks of signature, and the 64 low bytes."""
     n_chunks = chunk_count(percent)
-    return documents(docs).select("doc_id", "text").mapInArrow(_sign(n_chunks), _signed(n_chunks))
+    return documents(docs).select("doc_id", "text").mapInArrow(tidy(_sign(n_chunks)), _signed(n_chunks))
 
 
 def keys(reps: DataFrame, n_chunks: int) -> DataFrame:
@@ -207,18 +207,20 @@ def _bucket_edges(agree: int) -> Callable:
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Smallest node reachable (``least``) of every node of ``edges`` (a, b), by alternating large and small stars."""
     e = table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = None
     for _ in range(rounds):
+        if _stars(e):
+            return e.select(F.col("a").alias("node"), F.col("b").alias("least"))
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         e = table(_star(both, larger=True), name)
         e = table(_star(e, larger=False), name)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"{name}: components still change after {rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("least"))
+    raise RuntimeError(f"{name}: components still change after {rounds} rounds")
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each ``a`` has one ``b`` (b < a) and is nobody's ``b``: then a round changes nothing."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select("b", F.lit(0), F.lit(1)))
+    wrong = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1")
+    return wrong.limit(1).count() == 0
 
 
 def _star(e: DataFrame, larger: bool) -> DataFrame:
@@ -364,7 +366,7 @@ def _large_tiles(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     picks = [F.min_by(F.struct("rep", "shingles"), F.when(F.pmod(h, F.lit(4)) == q, h)) for q in range(4)]
     pivots = table(sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*picks).alias("pivots")), "near-pivots")
     met = lookup(sets.select("cluster", "rep", "load", "shingles"), pivots, ["cluster"], "n", pivots.agg(F.sum("n")).first()[0] or 0)
-    named = table(met.select("cluster", "rep", "load", "shingles", "pivots").mapInArrow(_to_pivots(percent), "cluster long, rep long, load long, shingles binary, family int, links array<long>"), "near-families")
+    named = table(met.select("cluster", "rep", "load", "shingles", "pivots").mapInArrow(tidy(_to_pivots(percent)), "cluster long, rep long, load long, shingles binary, family int, links array<long>"), "near-families")
     known = named.select(F.col("rep").alias("a"), F.explode("links").alias("b"))
     parts = named.groupBy("cluster", "family").agg(F.ceil(F.sum("load") * 2 / TILE).alias("parts"))
     blocks = table(parts.select("cluster", "family", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block")), "near-blocks")
@@ -392,7 +394,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     small_batches(spark)
     number = F.coalesce("doc_id", F.lit(-(2**63)))
     docs = documents(docs).withColumn("doc_id", number)
-    signed = table(docs.select("doc_id", "text").mapInArrow(_sign(n_chunks), _signed(n_chunks)), "near-signed")
+    signed = table(docs.select("doc_id", "text").mapInArrow(tidy(_sign(n_chunks)), _signed(n_chunks)), "near-signed")
     chunks = [f"c{k}" for k in range(n_chunks)]
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), *(F.first(c).alias(c) for c in chunks), F.first("low").alias("low"), F.first("n_shingles").alias("n_shingles"))
@@ -405,7 +407,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     met = table(lookup(entries, buckets, ["key"], "n", total, hint="merge"), "near-met")
     small = met.filter(F.col("n") <= BUCKET).select("key", "rep").join(reps.select("rep", "low").hint("merge"), "rep").select("key", "rep", "low").repartition("key").sortWithinPartitions("key", "rep")
     large = met.filter((F.col("n") > BUCKET) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    clusters = table(components(small.mapInArrow(_bucket_edges(least_agreeing(percent)), EDGE).unionAll(large), "near-cluster-edges"), "near-clusters")
+    clusters = table(components(small.mapInArrow(tidy(_bucket_edges(least_agreeing(percent))), EDGE).unionAll(large), "near-cluster-edges"), "near-clusters")
 
     # Members of a cluster with their full sets; a cluster of at most TILE is one tile.
     nodes = clusters.unionAll(clusters.select(F.col("least").alias("node"), "least").distinct())
@@ -419,14 +421,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = lookup(docs.select(F.col("doc_id").alias("rep"), "text", "row_key"), wanted, ["rep"], "rows", signed.count(), hint="merge")
     if again:
         texts = texts.dropDuplicates(["cluster", "rep", "row_key"])
-    sets = table(texts.select("cluster", "rep", "large", "text").mapInArrow(_set_rows, SETS), "near-sets")
+    sets = table(texts.select("cluster", "rep", "large", "text").mapInArrow(tidy(_set_rows), SETS), "near-sets")
     tiles = sets.filter("not large").select("cluster", F.lit(0).cast("long").alias("tile"), F.lit(0).alias("family"), "rep", "shingles")
     edges = []
     if wanted.filter("large").limit(1).count():
         known, open_tiles = _large_tiles(sets.filter("large"), percent)
         tiles = tiles.unionAll(open_tiles)
         edges.append(known)
-    checked = tiles.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile").mapInArrow(_confirm(percent), EDGE)
+    checked = tiles.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile").mapInArrow(tidy(_confirm(percent)), EDGE)
     edges = table(reduce(DataFrame.unionAll, edges, checked), "near-links")
 
     # Rows that share a doc_id but not a set tie their classes together as well.

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import BATCH_BYTES, documents, slices, small_batches, table
+from loomgrid.llm.common import BATCH_BYTES, documents, slices, small_batches, table, tidy
 from loomgrid.llm.neardup import by_group
 from loomgrid.llm.words import mix
 
@@ -416,11 +416,11 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     spark = docs.sparkSession
     small_batches(spark)
     rows = documents(docs).select("doc_id", "text", "row_key")
-    tokens = table(rows.mapInArrow(_tokens(path or tokenizer_path()), "doc_id long, row_key long, ids binary, n long"), "packing-tokens")
+    tokens = table(rows.mapInArrow(tidy(_tokens(path or tokenizer_path())), "doc_id long, row_key long, ids binary, n long"), "packing-tokens")
     n_docs, n_tokens = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # The vocabulary bounds this at 65,536 rows.
     df = np.zeros(1 << 16)
-    for term, n in tokens.select("ids").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
+    for term, n in tokens.select("ids").mapInArrow(tidy(_frequencies), "term long, df long").groupBy("term").agg(F.sum("df")).collect():
         df[term] = n
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, max(1.0, n_tokens / max(1, n_docs))))
@@ -428,9 +428,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     row = F.xxhash64("doc_id", "row_key").alias("row")
     # A document stands for ``step`` tokens at least, so the driver gets about n_tokens / step places.
     step = max(1, n_tokens // (BOUNDS * n_shards))
-    found = tokens.select(row, "ids", "n").mapInArrow(_places(shared, step), "place binary, n long").collect() if n_shards > 1 else []
+    found = tokens.select(row, "ids", "n").mapInArrow(tidy(_places(shared, step)), "place binary, n long").collect() if n_shards > 1 else []
     firsts = bounds([(bytes(x), n) for x, n in found], n_shards)
     # A shard is a partition: hashing shard numbers again would put several into one task.
-    placed = tokens.select(row, "ids", "doc_id", "row_key").mapInArrow(_dealt(shared, firsts), "shard long, doc_id long, row_key long, ids binary")
+    placed = tokens.select(row, "ids", "doc_id", "row_key").mapInArrow(tidy(_dealt(shared, firsts)), "shard long, doc_id long, row_key long, ids binary")
     dealt = placed.repartitionById(int(n_shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "row_key")
-    return dealt.mapInArrow(_packed(shared, length, with_ids), PIECE)
+    return dealt.mapInArrow(tidy(_packed(shared, length, with_ids)), PIECE)

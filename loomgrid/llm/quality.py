@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import slices, small_batches, table
+from loomgrid.llm.common import slices, small_batches, table, tidy
 
 #: Bound of the labelled sample; pseudo-labels of each class, view and round; rounds; least confidence of a pseudo-label.
 SAMPLE, NEW, ROUNDS, SURE = 6000, 150, 3, 0.95
@@ -81,7 +81,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, and both views' vectors (32-bit floats) of each row of documents."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    return rows.mapInArrow(_features, FEATURES)
+    return rows.mapInArrow(tidy(_features), FEATURES)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 12) -> np.ndarray:
@@ -181,7 +181,7 @@ def co_train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, new: int
     used: set[tuple] = set()
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
-        sure = pool.mapInArrow(_most_sure(shared, new + len(used)), SURE_ROWS)
+        sure = pool.mapInArrow(tidy(_most_sure(shared, new + len(used))), SURE_ROWS)
         sure = table(sure, "quality-sure")
         tops = [sure.filter((F.col("view") == v) & (F.col("label") == c)).orderBy(F.desc("z"), "doc_id", "row_key").limit(new + len(used)) for v in (0, 1) for c in (0, 1)]
         ranked = reduce(DataFrame.unionAll, tops).collect()
@@ -223,7 +223,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = table(features(docs), "quality-features")
     model = docs.sparkSession.sparkContext.broadcast(co_train(rows, labels))
-    return rows.mapInArrow(_scores(model), "doc_id long, row_key long, p_text double, p_meta double, score double")
+    return rows.mapInArrow(tidy(_scores(model)), "doc_id long, row_key long, p_text double, p_meta double, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -1,10 +1,16 @@
 """The corpus operators do the whole job: cases that a bound in them once left out."""
 
+import io
+import os
 import random
+import subprocess
+import sys
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 from loomgrid.llm import neardup as ND
 from loomgrid.llm import packing as PA
@@ -51,3 +57,47 @@ def test_packing_scores_all_terms():
     assert np.allclose(index.scores(docs[9]), want, atol=1e-3)
     index.without(unused)
     assert np.allclose(index.scores(docs[9])[unused], want[unused], atol=1e-3)
+
+
+ALONE = """
+import ctypes, pickle, sys
+import pyarrow as pa
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon:")) / 1024
+task = pickle.load(sys.stdin.buffer)
+batches = pa.ipc.open_stream(sys.stdin.buffer).read_all().to_batches()
+list(task(iter(batches[:1])))
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+before = held()
+print(sum(b.num_rows for b in task(iter(batches))), held() - before)
+"""
+
+
+def test_tasks_give_memory_back(spark, monkeypatch):
+    """A worker that has made the sets of 7 MB of texts is about as large as before."""
+    rng, words = random.Random(1), [f"w{k:x}" for k in range(20000)]
+    tasks, frame = {}, type(spark.range(1))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, *a, **b: (tasks.update({schema: f}), plain(self, f, schema, *a, **b))[1])
+    text = " ".join(words[:100])
+    ND.near_duplicates(spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string"))
+    ids = list(range(4000))
+    rows = pa.table({"cluster": ids, "rep": ids, "large": ids, "text": [" ".join(rng.choices(words, k=300)) for _ in ids]})
+    sent = io.BytesIO(cloudpickle.dumps(tasks[ND.SETS]))
+    sent.seek(0, 2)
+    with pa.ipc.new_stream(sent, rows.schema) as out:
+        out.write_table(rows, 1000)
+    got = subprocess.run([sys.executable, "-c", ALONE], input=sent.getvalue(), capture_output=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    n, grown = got.stdout.split()
+    assert int(n) == 4000 and float(grown) < 8
+
+
+def test_components_write_no_round_that_changes_nothing(spark, monkeypatch):
+    written, table = [], ND.table
+    monkeypatch.setattr(ND, "table", lambda df, name: (written.append(name), table(df, name))[1])
+    stars = spark.createDataFrame([(1, 5), (7, 1), (9, 8), (3, 3)], "a long, b long")
+    assert sorted((r.node, r.least) for r in ND.components(stars, "stars").collect()) == [(5, 1), (7, 1), (9, 8)] and len(written) == 1
+    path = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 60), (60, 50), (61, 60)], "a long, b long")
+    assert sorted((r.node, r.least) for r in ND.components(path, "path").collect()) == [(k, 1) for k in range(2, 41)] + [(60, 50), (61, 50)]
