@@ -168,15 +168,25 @@ def _fold(most: int | None = None) -> Callable:
 ENTRY = "digest binary, n_points long, keep_id long, keep_key long, group_size long"
 
 
-def groups(rows: DataFrame, n_rows: int) -> DataFrame:
-    """One row per distinct digest: digest, n_points, keep_id, keep_key, group_size.
+def _partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial entries of a map task; one worker takes the digests and folds them, so that a task has no second one."""
+    rows = (pa.RecordBatch.from_arrays([b.column(3), b.column(2), b.column(0), b.column(1), pa.repeat(pa.scalar(1, pa.int64()), b.num_rows)], names=["digest", "n_points", "doc_id", "row_key", "size"]) for b in _digests(batches))
+    yield from _fold(SHARD)(rows)
+
+
+def groups(docs: DataFrame, n_rows: int) -> DataFrame:
+    """One row per distinct digest of ``docs``: digest, n_points, keep_id, keep_key, group_size.
 
     Indexed twice: within each map task, so that a digest leaves it once however
-    many rows share it, and within each shard of the digest space.
+    many rows share it, and within each shard of the digest space. Where Spark's own number of partitions makes shards small enough,
+    Spark may join small ones.
     """
-    entries = rows.select("digest", "n_points", "doc_id", "row_key", F.lit(1).cast("long").alias("size")).mapInArrow(tidy(_fold(SHARD)), ENTRY)
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(max(least, -(-n_rows // SHARD)), F.col("digest")).mapInArrow(tidy(_fold()), ENTRY)
+    small_batches(docs.sparkSession)
+    entries = documents(docs).mapInArrow(tidy(_partial), ENTRY)
+    shards = -(-n_rows // SHARD)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartition(F.col("digest")) if shards <= least else entries.repartition(shards, F.col("digest"))
+    return dealt.mapInArrow(tidy(_fold()), ENTRY)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -189,10 +199,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     doc_id count one by one in group_size and are all marked alike. An empty
     table gives an empty result.
     """
-    rows = digests(docs)
-    found = table(groups(rows, docs.count()), "exact-groups")
-    total = found.agg(F.sum("group_size")).first()[0] or 0
-    out = lookup(rows.select("doc_id", "digest"), found.select("digest", "keep_id", "group_size"), ["digest"], "group_size", total)
+    n_rows = docs.count()
+    found = table(groups(docs, n_rows), "exact-groups")
+    out = lookup(digests(docs).select("doc_id", "digest"), found.select("digest", "keep_id", "group_size"), ["digest"], "group_size", n_rows)
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
@@ -204,6 +213,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Of rows that share a doc_id too the one with the longest text stays, and of repeated rows any one. An empty table stays empty.
     """
     number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    keep = groups(digests(docs), docs.count()).select(number("keep_id").alias("_lg_id"), F.col("keep_key").alias("_lg_key"))
+    keep = groups(docs, docs.count()).select(number("keep_id").alias("_lg_id"), F.col("keep_key").alias("_lg_key"))
     rows = docs.withColumns({"_lg_id": number("doc_id"), "_lg_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     return rows.join(keep, ["_lg_id", "_lg_key"], "left_semi").dropDuplicates(["_lg_id", "_lg_key"]).drop("_lg_id", "_lg_key")

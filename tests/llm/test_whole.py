@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
+from loomgrid.llm import exact_dedup as EX
 from loomgrid.llm import neardup as ND
 from loomgrid.llm import packing as PA
 from tests.llm.test_operators import components, prose
@@ -101,3 +102,24 @@ def test_components_write_no_round_that_changes_nothing(spark, monkeypatch):
     assert sorted((r.node, r.least) for r in ND.components(stars, "stars").collect()) == [(5, 1), (7, 1), (9, 8)] and len(written) == 1
     path = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 60), (60, 50), (61, 60)], "a long, b long")
     assert sorted((r.node, r.least) for r in ND.components(path, "path").collect()) == [(k, 1) for k in range(2, 41)] + [(60, 50), (61, 50)]
+
+
+def test_exact_has_one_worker_a_task(spark, monkeypatch):
+    """Digests are folded by the worker that took them, and small shards are joined: few files."""
+    plans, files, table = [], [], EX.table
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        files.append(len((out := table(df, name)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(EX, "table", noted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = EX.exact_dedup(spark.createDataFrame([(k, f"text {k % 300}" + " " * (k % 2)) for k in range(900)], "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(r.doc_id % 300, r.keep_id, r.group_size) for r in got} == {(k, min((k, k + 300, k + 600), key=lambda i: (-(i % 2), i)), 3) for k in range(300)}
+    assert len(got) == 900 and sum(r.kept for r in got) == 300
+    assert [p.split("Initial Plan")[-1].count("MapInArrow") for p in plans] == [2] and files[0] <= 10
