@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import documents, small_batches, table, tidy
+from loomgrid.llm.common import documents, slices, small_batches, table, tidy
 from loomgrid.llm.words import ALNUM, Words
 
 WINDOW = 13
@@ -147,21 +147,30 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def shards(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list[pa.RecordBatch], Words]]:
+class ShardWords:
+    """Words of the texts of ``batches``: how many each has, the text each is in, and hashes. Arrays of a number for each byte are made for one slice at a time."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        counts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for b in slices(batches, 1):
+            words = Words([x.lower() for x in b.column(1).cast(pa.binary()).to_pylist()], ALNUM)
+            counts.append(words.counts)
+            hashes.append(words.hashes)
+        self.counts, self.hashes = np.concatenate(counts), np.concatenate(hashes)
+        self.text = np.repeat(np.arange(len(self.counts)), self.counts)
+
+
+def shards(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list[pa.RecordBatch], ShardWords]]:
     """Consecutive batches (doc_id, text, row_key) of about ``size`` words, with their words."""
     held, n = [], 0
     for b in batches:
         held.append(b)
         n += b.column(1).nbytes
         if n >= 6 * size:
-            yield held, _words(held)
+            yield held, ShardWords(held)
             held, n = [], 0
     if held:
-        yield held, _words(held)
-
-
-def _words(batches: list[pa.RecordBatch]) -> Words:
-    return Words([x.lower() for b in batches for x in b.column(1).cast(pa.binary()).to_pylist()], ALNUM)
+        yield held, ShardWords(held)
 
 
 def _pieces(words: Words, most: int, overlap: int) -> Iterator[tuple[int, int]]:
@@ -210,7 +219,7 @@ def _hits(tests, most: int) -> Callable:
     return task
 
 
-def _longest(reach: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+def _longest(reach: np.ndarray, words: ShardWords) -> tuple[np.ndarray, np.ndarray]:
     """Longest match of each text and the first word it starts at; 0 where there is none."""
     longest, place = np.zeros(len(words.counts), np.int64), np.zeros(len(words.counts), np.int64)
     some = np.flatnonzero(words.counts)
@@ -223,7 +232,7 @@ def _longest(reach: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return longest, np.where(longest > 0, place, 0)
 
 
-def _spans(covered: np.ndarray, words: Words) -> list[list[list[int]]]:
+def _spans(covered: np.ndarray, words: ShardWords) -> list[list[list[int]]]:
     """Runs of hit words of each text, as first word and word after the last."""
     out: list[list[list[int]]] = [[] for _ in words.counts]
     at = np.flatnonzero(covered)

@@ -205,7 +205,7 @@ def _bucket_edges(agree: int) -> Callable:
 
 
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
-    """Smallest node reachable (``least``) of every node of ``edges`` (a, b), by alternating large and small stars."""
+    """Smallest node reachable (``least``) of every node of ``edges`` (a, b), by alternating large and small stars; a written table."""
     e = table(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     for _ in range(rounds):
         if _stars(e):
@@ -407,7 +407,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     met = table(lookup(entries, buckets, ["key"], "n", total, hint="merge"), "near-met")
     small = met.filter(F.col("n") <= BUCKET).select("key", "rep").join(reps.select("rep", "low").hint("merge"), "rep").select("key", "rep", "low").repartition("key").sortWithinPartitions("key", "rep")
     large = met.filter((F.col("n") > BUCKET) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    clusters = table(components(small.mapInArrow(tidy(_bucket_edges(least_agreeing(percent))), EDGE).unionAll(large), "near-cluster-edges"), "near-clusters")
+    clusters = components(small.mapInArrow(tidy(_bucket_edges(least_agreeing(percent))), EDGE).unionAll(large), "near-cluster-edges")
 
     # Members of a cluster with their full sets; a cluster of at most TILE is one tile.
     nodes = clusters.unionAll(clusters.select(F.col("least").alias("node"), "least").distinct())
@@ -435,7 +435,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     twins = by_id.filter("x <> y").select("doc_id")
     tied = full.join(twins, "doc_id").select("doc_id", "f1", "f2").join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("all"))
     edges = edges.unionAll(tied.select(F.explode("all").alias("a"), "b"))
-    linked_reps = table(components(edges, "near-link-edges"), "near-components")
+    linked_reps = components(edges, "near-link-edges")
     owners = reps.select("f1", "f2", "rep", "size").join(linked_reps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("least", "rep").alias("component_id"))
     owners = table(owners, "near-owners")
     n_rows = owners.agg(F.sum("size")).first()[0] or 0

@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -12,9 +13,11 @@ import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
+from loomgrid.llm import decontamination as DE
 from loomgrid.llm import exact_dedup as EX
 from loomgrid.llm import neardup as ND
 from loomgrid.llm import packing as PA
+from loomgrid.llm.words import ALNUM, Words
 from tests.llm.test_operators import components, prose
 
 
@@ -102,6 +105,10 @@ def test_components_write_no_round_that_changes_nothing(spark, monkeypatch):
     assert sorted((r.node, r.least) for r in ND.components(stars, "stars").collect()) == [(5, 1), (7, 1), (9, 8)] and len(written) == 1
     path = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(50, 60), (60, 50), (61, 60)], "a long, b long")
     assert sorted((r.node, r.least) for r in ND.components(path, "path").collect()) == [(k, 1) for k in range(2, 41)] + [(60, 50), (61, 50)]
+    written.clear()
+    text = " ".join(map(str, range(60)))
+    assert ND.near_duplicates(spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string")).filter("kept").count() == 1
+    assert sorted(x for x in written if "edges" in x or "clusters" in x or "components" in x) == ["near-cluster-edges", "near-link-edges"]
 
 
 def test_exact_has_one_worker_a_task(spark, monkeypatch):
@@ -123,3 +130,21 @@ def test_exact_has_one_worker_a_task(spark, monkeypatch):
     assert {(r.doc_id % 300, r.keep_id, r.group_size) for r in got} == {(k, min((k, k + 300, k + 600), key=lambda i: (-(i % 2), i)), 3) for k in range(300)}
     assert len(got) == 900 and sum(r.kept for r in got) == 300
     assert [p.split("Initial Plan")[-1].count("MapInArrow") for p in plans] == [2] and files[0] <= 10
+
+
+def test_shard_words_are_made_in_slices():
+    rng = random.Random(5)
+    texts = ["", "  . ", *(prose(rng, 400) for _ in range(2000)), "é Ab9", "-"]
+    (held, words), *more = DE.shards(pa.table({"doc_id": range(len(texts)), "text": texts, "row_key": range(len(texts))}).to_batches(500), 10**9)
+    raws = [t.encode().lower() for t in texts]
+    want = Words(raws, ALNUM)
+    assert not more and sum(b.num_rows for b in held) == len(texts)
+    assert (words.counts == want.counts).all() and (words.text == want.text).all() and (words.hashes == want.hashes).all()
+    size = sum(map(len, raws))
+    tracemalloc.start()
+    try:
+        list(DE.shards(held, 10**9))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert size > 4e6 and most < 20 * size
